@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .neardup import op9
 from .quality import op10
+from .substring import op6
 
-QUERIES = {"op10_quality_rules": op10}
+QUERIES = {"op6_substring_dedup": op6, "op9_minhash_neardup": op9, "op10_quality_rules": op10}
 ORACLES: dict[str, str] = {}
