@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op1
+from .mixing import op4
 from .neardup import op9
 from .quality import op10
 from .substring import op6
 
-QUERIES = {"op6_substring_dedup": op6, "op9_minhash_neardup": op9, "op10_quality_rules": op10}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_decontamination": op1, "op4_source_mixing": op4, "op6_substring_dedup": op6, "op9_minhash_neardup": op9, "op10_quality_rules": op10}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.SQL}
