@@ -164,6 +164,13 @@ def judged(docs: DataFrame, text: str = "text", model: Model | None = None) -> D
     return x.withColumn("quality", F.struct(f.alias("features"), F.col("quality.votes").alias("votes"), p.alias("posterior"), base_failed(f).alias("base_failed"), (~base_failed(f) & (p >= 0.5)).alias("kept")))
 
 
+def good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns unchanged; the model is fitted on all rows first."""
+    f = F.col("__features")
+    model = fit(docs.select(features(F.col(text)).alias("__features")).select(votes(f).alias("votes")))
+    return docs.withColumn("__features", features(F.col(text))).where(~base_failed(f) & (posterior(votes(f), model) >= 0.5)).select(*docs.columns)
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     """Contract query: the features are staged once (a few numbers a row), so each text is read once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
