@@ -5,9 +5,9 @@
    classes count.
 2. Classes that share a band are candidates. First each is linked to the smallest class of its band (a star, so a
    group of k costs k pairs) and the links are verified on full sets. Classes that these links leave in different
-   components although they share a band are then compared with each other, block by block, by their signatures; pairs
-   that may reach the threshold are verified too. So no link between two classes of one band is skipped, and pairs
-   inside what is already one component are never emitted.
+   components although they share a band are then compared with each other, block by block: signatures first, full sets
+   where those leave it open, and only links leave the task. So no pair of one band is skipped unless it is in one
+   component already, and no pairs are ever listed.
 3. Components of the verified links.
 
 With ROWS = 3 and BANDS = 20 two sets of similarity 0.8 share no band with a probability of 6e-7.
@@ -32,10 +32,10 @@ from .hashing import U, batches, mixed, sets
 from .superminhash import signatures
 
 BANDS, ROWS = 20, 3
-#: Members of a band that one task compares with as many others.
-BLOCK = 256
-#: A signature's share of equal registers is within 0.3 of the similarity but for a probability below 1e-6.
-SLACK = 0.3
+#: Bytes of full sets in a block of a band's members; two blocks meet in one task.
+BLOCK_BYTES = 8_000_000
+#: A signature's share of equal registers is at most this much below the similarity, but for a probability below 1e-5 (at 0.8, 60 registers).
+SLACK = 0.25
 
 
 def _texts(batch: pa.RecordBatch) -> list[tuple[int | None, bytes]]:
@@ -73,45 +73,57 @@ def _sets(size: int, lower: bool):
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted arrays of distinct hashes have a similarity of ``percent`` or more."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verified(percent: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            u, v = [], []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                # members are sorted: count those of the smaller that the larger has
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    u.append(a)
-                    v.append(b)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            ok = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) if similar(np.frombuffer(x, U), np.frombuffer(y, U), percent)]
+            yield pa.RecordBatch.from_pydict({"u": pa.array([a for a, _ in ok], pa.int64()), "v": pa.array([b for _, b in ok], pa.int64())})
 
     return run
 
 
-def _compared(percent: int):
-    """Of two blocks of one band's members, the pairs in different components whose signatures may reach the threshold."""
+def _linked(percent: int):
+    """Of two blocks of one band's members (with full sets), the links between different components. Pairs that also share an earlier band are left to it; a pair whose link would join nothing new is skipped."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = int(np.ceil((percent / 100 - SLACK) * BANDS * ROWS))
         for batch in it:
             u, v = [], []
-            for xs, ys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for band, xs, ys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sx, sy = (np.frombuffer(b"".join(r["sig"] for r in z), np.uint8).reshape(len(z), -1) for z in (xs, ys))
                 (rx, cx, nx), (ry, cy, ny) = ([np.array([r[k] for r in z]) for k in ("rep", "component", "n")] for z in (xs, ys))
-                same = np.zeros((len(xs), len(ys)), np.int16)
-                for k in range(sx.shape[1]):
-                    same += sx[:, k, None] == sy[None, :, k]
-                ok = (same >= least) & (cx[:, None] != cy[None, :]) & (rx[:, None] != ry[None, :])
-                ok &= 100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :])
-                i, j = np.nonzero(ok)
-                u.append(np.maximum(rx[i], ry[j]))
-                v.append(np.minimum(rx[i], ry[j]))
-            u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (u, v))
+                ok = (cx[:, None] != cy[None, :]) & (100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :]))
+                same = np.zeros(ok.shape, np.int16)
+                for k in range(BANDS):
+                    equal = [sx[:, j, None] == sy[None, :, j] for j in range(k * ROWS, (k + 1) * ROWS)]
+                    same += sum(e.view(np.int8) for e in equal)
+                    if k < band:
+                        ok &= ~np.logical_and.reduce(equal)
+                i, j = np.nonzero(ok & (same >= least))
+                order = np.argsort(-same[i, j], kind="stable")
+                parent: dict[int, int] = {}
+
+                def find(x: int, parent=parent) -> int:
+                    while parent.setdefault(x, x) != x:
+                        x = parent[x]
+                    return x
+
+                sets_ = [[np.frombuffer(r["members"], U) for r in z] for z in (xs, ys)]
+                for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                    p, q = find(int(cx[a])), find(int(cy[b]))
+                    if p != q and similar(sets_[0][a], sets_[1][b], percent):
+                        parent[p] = q
+                        u.append(max(rx[a], ry[b]))
+                        v.append(min(rx[a], ry[b]))
             yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -123,11 +135,11 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 80, lower: bool = True
     signed = staged(texts.mapInArrow(_signed(size, lower), "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"))
     live = signed.where("n > 0 and doc_id is not null")
     classes = staged(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    members = live.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep")
+    members = staged(live.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep"))
 
     key = Window.partitionBy("band").orderBy("rep")
-    banded = classes.select("rep", F.explode(F.transform("bands", lambda b, i: F.xxhash64(b, i))).alias("band"))
-    star = staged(banded.select(F.col("rep").alias("u"), F.first("rep").over(key).alias("v"), "band").where("u <> v"))
+    banded = classes.select("rep", F.posexplode("bands").alias("k", "b")).select("rep", "k", F.xxhash64("b", "k").alias("band"))
+    star = staged(banded.select(F.col("rep").alias("u"), F.first("rep").over(key).alias("v"), "band", "k").where("u <> v"))
     pairs = staged(star.select("u", "v").distinct())
     involved = checked(staged(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")), 16)
     full = staged(texts.join(involved, "doc_id", "left_semi").mapInArrow(_sets(size, lower), "rep long, members binary").join(_sizes(classes, "rep"), "rep").where(F.length("members") == 8 * F.col("n")).drop("n").dropDuplicates(["rep"]))
@@ -140,12 +152,10 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 80, lower: bool = True
     repeated = members.join(twice.select("doc_id", "v"), "doc_id").select(F.col("rep").alias("u"), "v").where("u <> v")
     links = staged(verified(pairs).union(repeated))
     found = components(links)
-    while True:
-        missed = staged(verified(_across(star, classes, found, percent)))
-        if missed.isEmpty():
-            break
-        links = staged(links.union(missed))
-        found = components(links)
+    # every pair of different components in one band is looked at here, so one pass is enough
+    missed = staged(_across(star, classes, full, found, percent))
+    if not missed.isEmpty():
+        found = components(links.union(missed))
     named = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("c"))
     out = signed.select("doc_id", "n").join(named, "doc_id", "left")
     alone = F.col("n") == 0
@@ -156,19 +166,18 @@ def _sizes(classes: DataFrame, name: str) -> DataFrame:
     return classes.select(F.col("rep").alias(name), "n")
 
 
-def _across(star: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a band but no component and that may reach the threshold by signature and size."""
-    rows = star.select("band", F.col("u").alias("rep")).union(star.select("band", F.col("v").alias("rep")).distinct())
-    rows = rows.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed_bands = rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("n_blocks"))
-    rows = rows.join(mixed_bands, "band").join(classes.select("rep", "n", "sig"), "rep")
-    member = F.struct("rep", "component", "n", "sig").alias("m")
-    block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
-    # each member goes to the pairs of blocks that its own block takes part in; a band of one block has one pair
-    rows = rows.select("band", member, block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    sided = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "m")
-    both = sided.groupBy("band", "i", "j").agg(F.collect_list(F.when(F.col("own") == F.col("i"), F.col("m"))).alias("x"), F.collect_list(F.when(F.col("own") == F.col("j"), F.col("m"))).alias("y"))
-    return both.select("x", "y").mapInArrow(_compared(percent), "u long, v long").distinct()
+def _across(star: DataFrame, classes: DataFrame, full: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between classes that share a band but no component."""
+    rows = star.select("band", "k", F.col("u").alias("rep")).union(star.select("band", "k", F.col("v").alias("rep")).distinct())
+    rows = rows.join(classes.select("rep", "n", "sig"), "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.sum(8 * F.col("n")) / BLOCK_BYTES).cast("int").alias("blocks")).where("x <> y").select("band", "blocks")
+    rows = rows.join(split, "band").join(full, "rep")
+    # a member meets all blocks of its band: it goes to each pair of blocks that its own takes part in
+    own, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows = rows.select("band", "k", F.struct("rep", "component", "n", "sig", "members").alias("m"), own.alias("own"), F.explode(every).alias("other"))
+    sided = rows.select("band", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "m")
+    both = sided.groupBy("band", "k", "i", "j").agg(F.collect_list(F.when(F.col("own") == F.col("i"), F.col("m"))).alias("x"), F.collect_list(F.when(F.col("own") == F.col("j"), F.col("m"))).alias("y"))
+    return both.select("k", "x", "y").mapInArrow(_linked(percent), "u long, v long")
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
