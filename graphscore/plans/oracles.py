@@ -35,21 +35,43 @@ _SCORES = f"{_P} AS precision, {_R} AS recall, {_F1} AS f1"
 _SCOPE_T = f"CASE WHEN type IN {_in(EXTENDED_TYPES)} THEN 'extended' WHEN type = 'IMPLEMENTS' AND coalesce(fkind IN {_in(MEMBER_KINDS)}, false) THEN 'member' WHEN type IN {_in(EDGE_TYPES)}"
 
 
-def _matching(p: str, nodes: str) -> str:
-    """Tables {p}dedup, {p}claim, {p}step, {p}match(tool, tool_ord, oracle_ord): nodes of ``nodes`` against osym."""
+def _steps(p: str, cands: str) -> str:
+    """{p}step and {p}match(tool, tool_ord, oracle_ord): rows of {p}claim claim candidates of their bucket one by one."""
     return f"""
-{p}dedup AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY ord) AS k FROM (SELECT *, {_np("path")} AS np, {_cn("name")} AS cn FROM {nodes}) WINDOW w AS (PARTITION BY tool, np, cn, kind, startLine)),
-{p}claim AS (SELECT tool, np, cn, ord, kind, startLine AS line, cn <> name AS acc, row_number() OVER (PARTITION BY tool, np, cn ORDER BY ord) AS rn FROM {p}dedup WHERE k = 1 AND {_ok("name")}),
 {p}step AS (
   SELECT DISTINCT tool, np, cn, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS claimed, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS pick FROM {p}claim
   UNION ALL
   SELECT tool, np, cn, rn, CASE WHEN pick IS NULL THEN claimed ELSE list_append(claimed, pick) END, ord, pick FROM (
-    SELECT tool, np, cn, rn, claimed, ord, list_sort(list_transform(free, lambda x: {{'r': CASE WHEN x.k = kind OR (swap AND x.k IN ('Method', 'Property') AND kind IN ('Method', 'Property')) THEN 0 ELSE 1 END, 'd': coalesce(abs(x.l - line), 0), 'o': x.o}}))[1].o AS pick FROM (
+    SELECT tool, np, cn, rn, claimed, ord, list_sort(list_transform(free, lambda x: {{'r': CASE WHEN x.k = kind OR (swap AND x.k IN ('Method', 'Property') AND kind IN ('Method', 'Property')) THEN 0 ELSE 1 END, 'd': CASE WHEN line IS NULL THEN 0 ELSE coalesce(abs(x.l - line), 1000000000) END, 'o': x.o}}))[1].o AS pick FROM (
       SELECT *, acc OR coalesce(list_bool_or(list_transform(free, lambda x: x.a)), false) AS swap FROM (
-        SELECT t.*, s.claimed, list_filter(coalesce(c.cs, []), lambda x: NOT list_contains(s.claimed, x.o)) AS free FROM {p}step s JOIN {p}claim t ON s.tool = t.tool AND s.np = t.np AND s.cn = t.cn AND t.rn = s.rn + 1 LEFT JOIN cands c ON c.np = t.np AND c.cn = t.cn)))),
+        SELECT t.*, s.claimed, list_filter(coalesce(c.cs, []), lambda x: NOT list_contains(s.claimed, x.o)) AS free FROM {p}step s JOIN {p}claim t ON s.tool = t.tool AND s.np = t.np AND s.cn = t.cn AND t.rn = s.rn + 1 LEFT JOIN {cands} c ON c.np = t.np AND c.cn = t.cn)))),
 {p}match AS (SELECT tool, ord AS tool_ord, pick AS oracle_ord FROM {p}step WHERE rn > 0)"""
 
 
+def _matching(p: str, nodes: str) -> str:
+    """{p}dedup, {p}claim and the steps: nodes of ``nodes`` against osym."""
+    return f"""
+{p}dedup AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY ord) AS k FROM (SELECT *, {_np("path")} AS np, {_cn("name")} AS cn FROM {nodes}) WINDOW w AS (PARTITION BY tool, np, cn, kind, startLine)),
+{p}claim AS (SELECT tool, np, cn, ord, kind, startLine AS line, cn <> name AS acc, row_number() OVER (PARTITION BY tool, np, cn ORDER BY ord) AS rn FROM {p}dedup WHERE k = 1 AND {_ok("name")}),{_steps(p, "cands")}"""
+
+
+#: Tools of the derived graph that resolve edges, and so are references.
+_REFERENCES = ("alpha", "gamma")
+
+
+def _covered(r: str) -> str:
+    """{r}_result: how much of one reference's resolved edges each other tool has. Ids are unique within a tool here."""
+    named = f"(SELECT *, {_np('path')} AS np, {_cn('name')} AS cn FROM nodes WHERE {_ok('name')})"
+    return f"""
+{r}_cands AS (SELECT np, cn, list({{'o': ord, 'k': kind, 'l': startLine, 'a': cn <> name}} ORDER BY ord) AS cs FROM {named} WHERE tool = '{r}' GROUP BY np, cn),
+{r}_claim AS (SELECT tool, np, cn, ord, kind, startLine AS line, cn <> name AS acc, row_number() OVER (PARTITION BY tool, np, cn ORDER BY ord) AS rn FROM {named} WHERE tool <> '{r}'),{_steps(r + "_", r + "_cands")},
+{r}_pairs AS (SELECT m.tool, n.id AS fromId, o.id AS refId FROM {r}_match m JOIN nodes n ON n.tool = m.tool AND n.ord = m.tool_ord JOIN nodes o ON o.tool = '{r}' AND o.ord = m.oracle_ord),
+{r}_theirs AS (SELECT DISTINCT e.tool AS other, p.refId, t.name AS toName, e.type FROM edges e JOIN {r}_pairs p ON p.tool = e.tool AND p.fromId = e.fromId JOIN nodes t ON t.tool = e.tool AND t.id = e.toId),
+{r}_asked AS (SELECT e.type, f.id AS refId, t.name AS toName FROM edges e LEFT JOIN nodes f ON f.tool = e.tool AND f.id = e.fromId LEFT JOIN nodes t ON t.tool = e.tool AND t.id = e.toId WHERE e.tool = '{r}' AND e.resolved AND e.type IN {_in(EDGE_TYPES)}),
+{r}_result AS (SELECT '{r}' AS ref_tool, g.other AS other_tool, g.type, coalesce(n, 0) AS "referenceResolved", coalesce(k, 0) AS covers FROM (SELECT tool AS other, unnest({list(EDGE_TYPES)}) AS type FROM (SELECT DISTINCT tool FROM nodes WHERE tool <> '{r}')) g
+  LEFT JOIN (SELECT type, count(*) AS n FROM {r}_asked GROUP BY type) a ON a.type = g.type LEFT JOIN (SELECT t.other, t.type, count(*) AS k FROM {r}_asked a JOIN {r}_theirs t ON t.refId = a.refId AND t.toName = a.toName AND t.type = a.type GROUP BY ALL) c ON c.other = g.other AND c.type = g.type)"""
+
+
 _BASE = f"""
 known AS (SELECT DISTINCT path FROM nodes WHERE coalesce(path, '') <> ''),
 tools AS (SELECT DISTINCT tool FROM nodes),
@@ -194,4 +216,5 @@ JOIN (SELECT tool, coalesce(avg({_F1}) FILTER (tp + fn > 0), 0.0) AS "macroF1" F
     "resolved_slice": _with(
         f"SELECT t.tool, t.type, coalesce(n, 0) AS resolvedTotal, coalesce(c, 0) AS resolvedConfirmed, coalesce(k, 0) AS resolvedTargetConfirmed FROM (SELECT tool, unnest({list(EDGE_TYPES)}) AS type FROM tools) t LEFT JOIN (SELECT tool, type, count(*) AS n FROM edges WHERE resolved GROUP BY ALL) e ON e.tool = t.tool AND e.type = t.type LEFT JOIN (SELECT v.tool, v.type, count(*) FILTER (verdict IN ('target', 'name')) AS c, count(*) FILTER (verdict = 'target') AS k FROM verdicts v JOIN edges e ON e.tool = v.tool AND e.ord = v.ord WHERE scope = 'main' AND resolved GROUP BY ALL) x ON x.tool = t.tool AND x.type = t.type", _BASE, _ALL, _EDGES,
     ),
+    "cross_tool_coverage": _with(" UNION ALL ".join(f'SELECT *, "referenceResolved" - covers AS misses FROM {r}_result' for r in _REFERENCES), *map(_covered, _REFERENCES)),
 }

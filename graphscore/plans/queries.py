@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import labels, names
 from ..functions.metrics import derived_scoreable
@@ -34,7 +35,10 @@ def score(spark: SparkSession, sf_dir: str) -> Score:
                 old.release()
         _last.clear()
         t = tables(spark, sf_dir, ("nodes", "edges", "oracle_symbols", "oracle_edges", "capabilities"))
+        # the derived tables are inputs here: a real graph would be read from files
+        t = {name: df.persist(StorageLevel.MEMORY_AND_DISK) for name, df in t.items()}
         _last[key] = Score(Inputs(t["nodes"], t["edges"], t["oracle_symbols"], t["oracle_edges"], t["capabilities"]), cached=True)
+        _last[key]._held.extend(t.values())
     return _last[key]
 
 
