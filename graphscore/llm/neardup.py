@@ -189,3 +189,14 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
 def op9(spark, sf_dir: str) -> DataFrame:
     """Contract query over the whole of ``documents``: four-word shingles, similarity 0.8."""
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g, len(w) >= 4 AS whole FROM d),
+e AS (SELECT r, doc_id, whole, len(g) AS n, unnest(g) AS x FROM s WHERE doc_id IS NOT NULL),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n + b.n - count(*) AS either, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.whole = b.whole AND a.r <> b.r GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM s WHERE doc_id IS NOT NULL UNION SELECT z.u, p.v FROM reach z JOIN p ON z.v = p.u WHERE 100 * common >= 80 * either),
+c AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT doc_id, len(g) AS n_shingles, component_id, doc_id IS NULL OR doc_id = component_id AS kept FROM s LEFT JOIN c ON c.u = doc_id
+"""

@@ -264,3 +264,14 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 def op6(spark, sf_dir: str) -> DataFrame:
     """Contract query over the whole of ``documents``."""
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT r, doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: {'i': i, 's': array_to_string(w[i:i + 12], ' ')}), recursive := true) FROM d WHERE len(w) >= 13),
+m AS (SELECT s, min(doc_id) AS f FROM k WHERE doc_id IS NOT NULL GROUP BY s),
+g AS (SELECT DISTINCT r, i + o AS j FROM k JOIN m USING (s), range(13) AS t(o) WHERE f < doc_id),
+e AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
+q AS (SELECT e.r, count(*) FILTER (g.j IS NOT NULL) AS n, string_agg(x, ' ' ORDER BY e.j) FILTER (g.j IS NULL) AS t FROM e LEFT JOIN g ON g.r = e.r AND g.j = e.j GROUP BY e.r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN q USING (r)
+"""
