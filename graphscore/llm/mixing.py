@@ -24,8 +24,8 @@ from .base import checked, let, staged, words
 BLOCK = 256
 CAP = 3
 WEIGHTS = (1, 2, 3)
-#: Documents in a bucket, slots in a chunk and in an output shard.
-BUCKET, CHUNK, SHARD = 4096, 4096, 4096
+#: Documents in a bucket, slots in a chunk and in an output shard, chunks in a task.
+BUCKET, CHUNK, SHARD, TASK = 4096, 4096, 4096, 16
 ROUNDS = 16
 
 
@@ -79,10 +79,13 @@ def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Dat
     blocks = F.ceil(F.col("source_size") / block)
     wanted = sources.where("source_size > 0 and target > 0").select("sid", blocks.alias("b"), F.least(CAP * blocks, F.round(F.col("target") * blocks / F.col("source_size")).cast("long")).alias("t")).where("t > 0")
     shards = F.lit(max(1, -(-(sources.agg(F.sum("source_size")).first()[0] or 0) // (block * SHARD))))
-    chunks = wanted.select("sid", "b", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("t") - 1) / CHUNK))).alias("c")).repartition("sid", "c")
+    # a fixed number of tasks: a chunk is a small row that unfolds into many slots, which adaptive plans don't foresee
+    tasks = max(1, -(-(wanted.agg(F.sum(F.ceil(F.col("t") / CHUNK))).first()[0] or 0) // TASK))
+    chunks = wanted.select("sid", "b", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("t") - 1) / CHUNK))).alias("c")).repartition(int(tasks), "sid", "c")
     slot = F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col("t"), (F.col("c") + 1) * CHUNK) - 1)).alias("j")
     slots = chunks.select("sid", "b", slot).select("sid", F.floor(F.col("j") / F.col("b")).alias("epoch"), permuted(F.pmod("j", "b"), F.col("b"), F.col("sid")).alias("block"), F.pmod(F.xxhash64("sid", "j"), shards).alias("shard"))
-    return sized, slots, parts.join(slots.select("sid", "block", "epoch"), ["sid", "block"]).select("rid", "epoch", "lo", "hi")
+    # nor may they broadcast the slots, whose number grows with the corpus
+    return sized, slots, parts.hint("merge").join(slots.select("sid", "block", "epoch").hint("merge"), ["sid", "block"]).select("rid", "epoch", "lo", "hi")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
