@@ -46,8 +46,8 @@ TEMPLATES = [
     ("mit-notice", "licensed under the mit license", ["licensed under the mit license"]),
     ("all-rights-reserved", "copyright all rights reserved", ["all rights reserved"]),
 ]
-# Words of the templates too common in any prose to be looked up.
-COMMON = set("a all and any are by following for free in into is made of or person public purpose sa source subject that the this to under use v version with without 0 1 2 3 4".split())
+# Words of the templates too common in prose of some language to be looked up.
+COMMON = set("a all and any are by following for free in into is made mit of or person public purpose sa source subject that the this to under use v version with without 0 1 2 3 4".split())
 RAREST = 32
 #: Share of a template's IDF weight that must stand in place.
 ENOUGH = 0.6
