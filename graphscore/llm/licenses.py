@@ -1,9 +1,9 @@
 """License scan: exact phrases, and licence texts found through a positional index of rare words.
 
-Index. Each template is a licence sentence; its distinctive words are posted with their positions. For a file, the
-RAREST licence words it holds (by inverse document frequency over all files) are looked up; a posting (template, q) of a
-word at p puts the template at p - q; template and place with enough of the template's IDF weight are candidates, and
-count only if the template's mandatory key phrases stand at that very place.
+Index. Each template is a licence sentence; its distinctive words are posted with their positions. For a file, every
+licence word it holds is looked up; a posting (template, q) of a word at p puts the template at p - q; template and place
+with enough of the template's IDF weight (inverse document frequency over all files) are candidates, and count only if the
+template's mandatory key phrases stand at that very place.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, with A-Z lower-cased. DataFrame operations only;
 the vocabulary is a constant, so the table of document frequencies (all that is collected) has a fixed size.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import ascii_lower, let, staged
@@ -48,7 +48,6 @@ TEMPLATES = [
 ]
 # Words of the templates too common in prose of some language to be looked up.
 COMMON = set("a all and any are by following for free in into is made mit of or person public purpose sa source subject that the this to under use v version with without 0 1 2 3 4".split())
-RAREST = 32
 #: Share of a template's IDF weight that must stand in place.
 ENOUGH = 0.6
 
@@ -105,11 +104,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     df = {r["w"]: r["n"] for r in some.select(F.explode("present").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     idf = {w: math.log((n + 2) / (df.get(w, 0) + 1)) for w in VOCABULARY}
     index = F.broadcast(_index(spark, idf))
-    weights = F.broadcast(spark.createDataFrame([(w, x) for w, x in idf.items()], "w string, idf double"))
 
-    rare = Window.partitionBy("rid").orderBy(F.desc("idf"), "w")
-    top = some.select("rid", F.explode("present").alias("w")).join(weights, "w").withColumn("k", F.row_number().over(rare)).where(F.col("k") <= RAREST).select("rid", "w")
-    hits = some.select("rid", F.posexplode("ws").alias("p", "w")).where(F.col("w").isin(VOCABULARY)).join(top, ["rid", "w"])
+    hits = some.select("rid", F.posexplode("ws").alias("p", "w")).where(F.col("w").isin(VOCABULARY))
     placed = hits.join(index, "w").groupBy("rid", "t", (F.col("p") - F.col("q")).alias("at")).agg(F.sum("idf").alias("got"), F.first("total").alias("total"))
     placed = placed.where(F.col("got") >= ENOUGH * F.col("total")).join(some.select("rid", "ws"), "rid")
     in_place = F.lit(False)

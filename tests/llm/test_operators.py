@@ -85,6 +85,13 @@ def test_licenses(docs, rows, empty):
     assert licenses.scanned(empty).isEmpty()
 
 
+def test_licenses_of_a_bundle(spark):
+    """A file that holds every template has more licence words than any one licence, and all labels."""
+    bundle = " . ".join(text for _, text, _ in licenses.TEMPLATES)
+    got = licenses.scanned(spark.createDataFrame([(1, bundle)], "doc_id long, text string")).first()
+    assert set(got["labels"].split(",")) == {*licenses.BASE.values(), *(label for label, *_ in licenses.TEMPLATES)} and got["score"] == 1
+
+
 def test_mixing(spark, docs, rows, empty):
     sized, _, takes = mixing.plan(docs, 64)
     taken = {r["rid"]: r["n"] for r in takes.groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).collect()}
