@@ -5,8 +5,8 @@
    classes count.
 2. Classes that share a band are candidates. First each is linked to the smallest class of its band (a star, so a
    group of k costs k pairs) and the links are verified on full sets. Classes that these links leave in different
-   components although they share a band are then compared with each other, block by block: signatures first, full sets
-   where those leave it open, and only links leave the task. So no pair of one band is skipped unless it is in one
+   components although they share a band are then compared with each other, block by block, on full sets (signatures only
+   tell which first), and only links leave the task. So no pair of one band is skipped unless it is in one
    component already, and no pairs are ever listed.
 3. Components of the verified links.
 
@@ -32,10 +32,10 @@ from .hashing import U, batches, mixed, sets
 from .superminhash import signatures
 
 BANDS, ROWS = 20, 3
-#: Bytes of full sets in a block of a band's members; two blocks meet in one task.
+#: Bytes of full sets and bands in a block of a band's members; two blocks meet in one task.
 BLOCK_BYTES = 8_000_000
-#: A signature's share of equal registers is at most this much below the similarity, but for a probability below 1e-5 (at 0.8, 60 registers).
-SLACK = 0.25
+#: Pairs looked at together.
+PAIRS = 500_000
 
 
 def _texts(batch: pa.RecordBatch) -> list[tuple[int | None, bytes]]:
@@ -95,21 +95,13 @@ def _linked(percent: int):
     """Of two blocks of one band's members (with full sets), the links between different components. Pairs that also share an earlier band are left to it; a pair whose link would join nothing new is skipped."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = int(np.ceil((percent / 100 - SLACK) * BANDS * ROWS))
         for batch in it:
             u, v = [], []
             for band, xs, ys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sx, sy = (np.frombuffer(b"".join(r["sig"] for r in z), np.uint8).reshape(len(z), -1) for z in (xs, ys))
+                bx, by = (np.array([r["before"] for r in z], np.int64).reshape(len(z), band) for z in (xs, ys))
                 (rx, cx, nx), (ry, cy, ny) = ([np.array([r[k] for r in z]) for k in ("rep", "component", "n")] for z in (xs, ys))
-                ok = (cx[:, None] != cy[None, :]) & (100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :]))
-                same = np.zeros(ok.shape, np.int16)
-                for k in range(BANDS):
-                    equal = [sx[:, j, None] == sy[None, :, j] for j in range(k * ROWS, (k + 1) * ROWS)]
-                    same += sum(e.view(np.int8) for e in equal)
-                    if k < band:
-                        ok &= ~np.logical_and.reduce(equal)
-                i, j = np.nonzero(ok & (same >= least))
-                order = np.argsort(-same[i, j], kind="stable")
+                sets_ = [[np.frombuffer(r["members"], U) for r in z] for z in (xs, ys)]
                 parent: dict[int, int] = {}
 
                 def find(x: int, parent=parent) -> int:
@@ -117,13 +109,20 @@ def _linked(percent: int):
                         x = parent[x]
                     return x
 
-                sets_ = [[np.frombuffer(r["members"], U) for r in z] for z in (xs, ys)]
-                for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                    p, q = find(int(cx[a])), find(int(cy[b]))
-                    if p != q and similar(sets_[0][a], sets_[1][b], percent):
-                        parent[p] = q
-                        u.append(max(rx[a], ry[b]))
-                        v.append(min(rx[a], ry[b]))
+                for at in range(0, len(xs), step := max(1, PAIRS // max(1, len(ys)))):
+                    part = slice(at, at + step)
+                    ok = (cx[part, None] != cy[None, :]) & (100 * np.minimum(nx[part, None], ny[None, :]) >= percent * np.maximum(nx[part, None], ny[None, :]))
+                    for k in range(band):
+                        ok &= bx[part, k, None] != by[None, :, k]
+                    i, j = np.nonzero(ok)
+                    # the likeliest first, as each link spares others; no pair is dropped for its signatures
+                    order = np.argsort(-(sx[part][i] == sy[j]).sum(1), kind="stable")
+                    for a, b in zip((i[order] + at).tolist(), j[order].tolist(), strict=True):
+                        p, q = find(int(cx[a])), find(int(cy[b]))
+                        if p != q and similar(sets_[0][a], sets_[1][b], percent):
+                            parent[p] = q
+                            u.append(max(rx[a], ry[b]))
+                            v.append(min(rx[a], ry[b]))
             yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -169,12 +168,12 @@ def _sizes(classes: DataFrame, name: str) -> DataFrame:
 def _across(star: DataFrame, classes: DataFrame, full: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between classes that share a band but no component."""
     rows = star.select("band", "k", F.col("u").alias("rep")).union(star.select("band", "k", F.col("v").alias("rep")).distinct())
-    rows = rows.join(classes.select("rep", "n", "sig"), "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.sum(8 * F.col("n")) / BLOCK_BYTES).cast("int").alias("blocks")).where("x <> y").select("band", "blocks")
+    rows = rows.join(classes.select("rep", "n", "sig", "bands"), "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.sum(8 * (F.col("n") + BANDS)) / BLOCK_BYTES).cast("int").alias("blocks")).where("x <> y").select("band", "blocks")
     rows = rows.join(split, "band").join(full, "rep")
     # a member meets all blocks of its band: it goes to each pair of blocks that its own takes part in
     own, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.select("band", "k", F.struct("rep", "component", "n", "sig", "members").alias("m"), own.alias("own"), F.explode(every).alias("other"))
+    rows = rows.select("band", "k", F.struct("rep", "component", "n", "sig", F.slice("bands", F.lit(1), F.col("k")).alias("before"), "members").alias("m"), own.alias("own"), F.explode(every).alias("other"))
     sided = rows.select("band", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "m")
     both = sided.groupBy("band", "k", "i", "j").agg(F.collect_list(F.when(F.col("own") == F.col("i"), F.col("m"))).alias("x"), F.collect_list(F.when(F.col("own") == F.col("j"), F.col("m"))).alias("y"))
     return both.select("k", "x", "y").mapInArrow(_linked(percent), "u long, v long")

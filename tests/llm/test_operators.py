@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +220,24 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert neardup.groups(empty).isEmpty()
 
 
+def test_near_duplicates_are_compared_whatever_their_signatures():
+    """Only an earlier band that two members really share excuses their pair, and only full sets refuse it."""
+    whole, size = np.arange(100, dtype=np.uint64), neardup.BANDS * neardup.ROWS
+    sig = bytes(range(size))
+    far = sig[: neardup.ROWS] + bytes(255 - x for x in sig[neardup.ROWS :])
+    member = lambda rep, sig, before, values: {"rep": rep, "component": rep, "n": len(values), "sig": sig, "before": before, "members": values.tobytes()}
+
+    def links(x, y):
+        kind = pa.list_(pa.struct([("rep", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("before", pa.list_(pa.int64())), ("members", pa.binary())]))
+        batch = pa.RecordBatch.from_arrays([pa.array([len(x["before"])], pa.int32()), pa.array([[x]], kind), pa.array([[y]], kind)], ["k", "x", "y"])
+        return [tuple(r.values()) for out in neardup._linked(80)(iter([batch])) for r in out.to_pylist()]
+
+    assert links(member(1, sig, [7], whole), member(2, sig, [8], whole[:90])) == [(2, 1)]  # the bytes of band 0 collide, its hashes differ
+    assert links(member(1, sig, [7], whole), member(2, sig, [7], whole[:90])) == []  # left to band 0
+    assert links(member(1, sig, [], whole), member(2, far, [], whole[:90])) == [(2, 1)]  # few registers agree
+    assert links(member(1, sig, [], whole), member(2, sig, [], whole + np.uint64(20))) == []
+
+
 def test_superminhash_estimates_similarity():
     words = [f"v{k}" for k in range(3000)]
     texts = [" ".join(words[a : a + n]).encode() for a, n in ((0, 400), (100, 400), (0, 5), (1, 4), (0, 1), (50, 40))]
