@@ -6,8 +6,8 @@ labels, content and rest; it is trained here, by gradient descent on the exact l
 ``training_pages`` (a bounded number), and decoded by Viterbi.
 
 Defined results: a null or empty page, or one without content, has the empty text; unclosed and stray tags are repaired as
-browsers do (a close tag without its open tag is ignored, a new paragraph ends the last); an unclosed script, style or
-comment hides the rest of the page; null or repeated ids are rows of their own; an empty table gives an empty result.
+browsers do (a close tag without its open tag is ignored, a new paragraph ends the last, text or a tag that cannot stand
+in a head ends it); an unclosed script, style or comment hides the rest of the page; null or repeated ids are rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from .hashing import batches
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = set("script style template iframe noscript svg math canvas audio video object textarea select datalist title head".split())
+IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes style script template".split())
 RAW = "script|style|textarea|title|iframe|noscript|template|xmp"
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -113,6 +114,8 @@ def blocks(page: str) -> list[tuple[str, frozenset[int]]]:
 
     def add(text: str) -> None:
         nonlocal linked
+        if stack[-1].tag == "head" and text.strip(" \t\n\f\r"):
+            stack.pop()
         if text and not stack[-1].hidden:
             if not run:
                 seen_leaf[0], seen_leaf[1] = stack[-1], next((x.tag for x in reversed(stack) if x.tag not in INLINE), "")
@@ -141,6 +144,8 @@ def blocks(page: str) -> list[tuple[str, frozenset[int]]]:
             continue
         if tag not in INLINE:
             end()
+        if stack[-1].tag == "head" and not m[2] and tag not in IN_HEAD:
+            stack.pop()
         if m[2]:
             close(tag)
         elif tag in VOID:

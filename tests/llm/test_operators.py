@@ -388,6 +388,14 @@ def test_main_text(spark):
     assert markup.extracted(rows.limit(0), f).isEmpty()
 
 
+@pytest.mark.parametrize("after", ["<body>", "</head><body>", "", "<body class=x><p>", "<img src=x>"])
+def test_a_head_left_open_hides_nothing_of_the_body(after):
+    body = "<article><h1>Big</h1><p>One two three four five six seven.</p></article></body></html>"
+    head = "<html><head><meta charset=utf-8><title>T</title><style>p{}</style><script>x</script>\n"
+    assert markup.main_text(head + after + body, markup.field()) == "Big One two three four five six seven."
+    assert [t for t, _ in markup.blocks(head + "plain text<link href=x><p>more")] == ["plain text", "more"]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
