@@ -147,3 +147,11 @@ def test_coverage(spark):
     s = Score(Inputs(n, e, spark.createDataFrame([], ORACLE_SYMBOLS), spark.createDataFrame([], ORACLE_EDGES)))
     got = row(s.coverage(), type="CALLS")
     assert [got[k] for k in ("ref_tool", "other_tool", "referenceResolved", "covers", "misses")] == ["r", "c", 3, 1, 2]
+
+
+def test_derived_graph_keeps_all_rows(spark):
+    """The links are all calls, and gamma's edges all but the type it lacks."""
+    t = tables(spark, DIR, ("calls", "links", "edges"))
+    calls = t["calls"].count()
+    assert t["links"].count() == calls == spark.read.parquet(f"{DIR}/lineitem.parquet").count()
+    assert t["edges"].where("tool = 'gamma'").count() == t["calls"].where("type <> 'ACCESSES'").count()
