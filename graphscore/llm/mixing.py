@@ -57,7 +57,7 @@ def permuted(index: Column, size: Column, key: Column) -> Column:
 
 
 def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """sized (rid, doc_id, key, source, sid, size, source_size, target), slots (sid, epoch, block, shard) and takes (rid, epoch, lo, hi: words lo .. hi - 1 of a document).
+    """sized (rid, doc_id, key, source, sid, size, source_size, target), slots (sid, epoch, block, shard) and takes (rid, epoch, lo, hi, shard: words lo .. hi - 1 of a document go to the shard).
 
     ``docs`` has doc_id, text and source. rid numbers the rows of the staged table; key is a hash of the text.
     """
@@ -85,7 +85,7 @@ def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Dat
     slot = F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col("t"), (F.col("c") + 1) * CHUNK) - 1)).alias("j")
     slots = chunks.select("sid", "b", slot).select("sid", F.floor(F.col("j") / F.col("b")).alias("epoch"), permuted(F.pmod("j", "b"), F.col("b"), F.col("sid")).alias("block"), F.pmod(F.xxhash64("sid", "j"), shards).alias("shard"))
     # nor may they broadcast the slots, whose number grows with the corpus
-    return sized, slots, parts.hint("merge").join(slots.select("sid", "block", "epoch").hint("merge"), ["sid", "block"]).select("rid", "epoch", "lo", "hi")
+    return sized, slots, parts.hint("merge").join(slots.hint("merge"), ["sid", "block"]).select("rid", "epoch", "lo", "hi", "shard")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:

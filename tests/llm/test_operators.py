@@ -127,6 +127,19 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mixed(empty).isEmpty()
 
 
+def test_takes_are_dealt_to_shards_at_random(spark, monkeypatch):
+    """What is taken goes to a shard; a source's slots over the shards are one draw of its target."""
+    monkeypatch.setattr(mixing, "SHARD", 100)
+    docs = spark.range(80).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), 640), " ").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    _, slots, takes = mixing.plan(docs, 64)
+    dealt, words_of = Counter(r["shard"] for r in slots.collect()), Counter()
+    for r in takes.collect():
+        words_of[r["shard"]] += r["hi"] - r["lo"]
+    n = sum(dealt.values())
+    assert sorted(dealt) == list(range(8)) and set(words_of) == set(dealt)
+    assert all(abs(dealt[s] - n / 8) < 5 * (n / 8) ** 0.5 and abs(words_of[s] - 64 * dealt[s]) <= 64 * 3 * 3 for s in dealt)
+
+
 def test_permutation(spark):
     got = spark.range(1000).select(mixing.permuted(F.col("id"), F.lit(1000).cast("long"), F.lit(7)).alias("p"))
     assert sorted(r["p"] for r in got.collect()) == list(range(1000)) and got.first()["p"] != 0
