@@ -9,8 +9,9 @@ containment is counted on full sets of distinct shingles.
 Words are runs of ASCII letters and digits and of non-ASCII characters, lower-cased. DataFrame operations only. The
 sketches are broadcast only if a count proves them small; else the shingles of the documents are shuffled to them.
 
-Defined results: items and documents without words match nothing; texts of fewer words than a shingle are one shingle;
-null ids are kept as null; repeated rows of either table give one result row for each (doc_id, item_id), the largest
+Defined results: items and documents without words match nothing; texts of fewer words than a shingle are one shingle,
+and such an item is looked for in documents by windows of its own length (the SQL below only finds it where it is the whole
+text); null ids are kept as null; repeated rows of either table give one result row for each (doc_id, item_id), the largest
 containment; empty tables give an empty result; other columns are ignored.
 """
 
@@ -25,11 +26,22 @@ SIZE, PERCENT = 5, 80
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shingles(text: Column, size: int = SIZE) -> Column:
-    """Hashes of all shingles of ``text``, in order, with repeats; an empty array without words."""
-    ws = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), APART), lambda w: w != "")
-    every = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))
-    return let(ws, lambda w: F.when(F.size(w) >= size, every(w)).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), APART), lambda w: w != "")
+
+
+def shingles(text: Column, size: int = SIZE, short: tuple[int, ...] = ()) -> Column:
+    """Hashes of all shingles of ``text``, in order, with repeats, then those of its windows of each ``short`` size; an empty array without words."""
+    none = F.array().cast("array<bigint>")
+    every = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
+    whole = lambda w: F.when(F.size(w) >= size, every(w, size)).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(none)
+    return let(_words(text), lambda w: F.concat(whole(w), *(F.when(F.size(w) >= n, every(w, n)).otherwise(none) for n in short)) if short else whole(w))
+
+
+def _short(items: DataFrame, size: int) -> tuple[int, ...]:
+    """The numbers of words, below a shingle's, that items have."""
+    n = items.select(F.size(_words(F.col("text"))).alias("n")).where(F.col("n").between(1, size - 1)).distinct()
+    return tuple(sorted(r["n"] for r in n.collect()))
 
 
 def _keys(text: Column) -> list[Column]:
@@ -53,11 +65,12 @@ def contained(docs: DataFrame, items: DataFrame, size: int = SIZE, percent: int
     full = checked(staged(sets.select(F.explode("s").alias("h"), "item").distinct()), 24)
     names = sets.select("item", "item_id", F.size("s").alias("n_item")).distinct()
 
+    short = _short(items, size)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = texts.select(*_keys(F.col("text")), F.explode(shingles(F.col("text"), size)).alias("h"))
+    rows = texts.select(*_keys(F.col("text")), F.explode(shingles(F.col("text"), size, short)).alias("h"))
     hit = checked(staged(rows.join(sketch, "h", "left_semi").select("k1", "k2").distinct()), 24)
     some = texts.select("doc_id", "text", *_keys(F.col("text"))).join(hit, ["k1", "k2"], "left_semi")
-    found = some.select("doc_id", "k1", "k2", F.explode(F.array_distinct(shingles(F.col("text"), size))).alias("h")).dropDuplicates(["doc_id", "k1", "k2", "h"]).join(full, "h")
+    found = some.select("doc_id", "k1", "k2", F.explode(F.array_distinct(shingles(F.col("text"), size, short))).alias("h")).dropDuplicates(["doc_id", "k1", "k2", "h"]).join(full, "h")
     counted = found.groupBy("doc_id", "k1", "k2", "item").agg(F.count(F.lit(1)).alias("n_shared"))
     return counted.join(names, "item").where(100 * F.col("n_shared") >= percent * F.col("n_item")).select("doc_id", "k1", "k2", "item_id", "n_item", "n_shared")
 

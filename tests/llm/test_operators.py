@@ -72,6 +72,13 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.contained(empty, items).isEmpty() and decontaminate.contained(docs, items.limit(0)).isEmpty()
 
 
+def test_decontamination_by_items_shorter_than_a_shingle(spark):
+    docs = spark.createDataFrame([(1, "a b c d e the Answer is x y z"), (2, "the answer was"), (3, "forty two"), (4, "z forty-two is it not so"), (5, "the answer is"), (6, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "The answer is"), (11, "forty two"), (12, ""), (13, "is it")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, items).collect()}
+    assert got == {(1, 10), (5, 10), (3, 11), (4, 11), (4, 13)}
+
+
 def test_licenses(docs, rows, empty):
     def plain(text):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
