@@ -22,7 +22,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import checked, let, staged
@@ -83,8 +83,11 @@ def fit(rows: list[tuple[str, str]]) -> TextModel:
 
 
 def sample(docs: DataFrame, n: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``n`` labelled rows (lang, text) of ``docs``."""
-    some = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    """At most ``n`` labelled rows (lang, text) of ``docs``, as many of each language where it has them, and one at least."""
+    labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    each = max(1, n // max(1, labelled.select("lang").distinct().count()))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    some = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
     return sorted((r["lang"], r["text"]) for r in some.collect())
 
 

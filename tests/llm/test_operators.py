@@ -384,6 +384,12 @@ def test_language(spark):
     assert [language.address(u) for u in ("https://x.co.uk/de/a", "//u@Host.Example.FR:80", None, "plain.es/x")] == [("x.co.uk", "x.co.uk", "de"), ("host.example.fr", "example.fr", "fr"), (None, None, None), ("plain.es", "plain.es", "es")]
 
 
+def test_a_rare_language_is_in_the_sample(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 57, "xx").when(F.col("id") % 4 == 0, "de").otherwise("en").alias("lang"), F.lit("some words").alias("text"))
+    got = Counter(x for x, _ in language.sample(docs, 10))
+    assert got == {"de": 3, "en": 3, "xx": 1}
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").toPandas()
     model = language.fit(list(zip(docs.lang[:300], docs.text[:300], strict=True)))
