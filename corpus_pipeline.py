@@ -48,7 +48,8 @@ STAGES = [
     ("token_packing", token_packing),
 ]
 
-#: SQL can express neither the fitted vote model nor the hashes that the mix draws by: tests/llm checks the rows by brute force.
+#: SQL can express neither the fitted vote model nor the hashes that the mix draws by: tests/llm/test_pipeline.py checks the rows of each stage
+#: by brute force, but the votes only against the operator, and which words the mix draws only by its bounds.
 ORACLE_SQL = None
 
 
