@@ -70,7 +70,7 @@ def contained(docs: DataFrame, items: DataFrame, size: int = SIZE, percent: int
     rows = texts.select(*_keys(F.col("text")), F.explode(shingles(F.col("text"), size, short)).alias("h"))
     hit = checked(staged(rows.join(sketch, "h", "left_semi").select("k1", "k2").distinct()), 24)
     some = texts.select("doc_id", "text", *_keys(F.col("text"))).join(hit, ["k1", "k2"], "left_semi")
-    found = some.select("doc_id", "k1", "k2", F.explode(F.array_distinct(shingles(F.col("text"), size, short))).alias("h")).dropDuplicates(["doc_id", "k1", "k2", "h"]).join(full, "h")
+    found = some.select("doc_id", "k1", "k2", F.explode(F.array_distinct(shingles(F.col("text"), size, short))).alias("h")).join(full, "h").dropDuplicates(["doc_id", "k1", "k2", "item", "h"])
     counted = found.groupBy("doc_id", "k1", "k2", "item").agg(F.count(F.lit(1)).alias("n_shared"))
     return counted.join(names, "item").where(100 * F.col("n_shared") >= percent * F.col("n_item")).select("doc_id", "k1", "k2", "item_id", "n_item", "n_shared")
 
