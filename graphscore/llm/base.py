@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,11 +18,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, one of our own in local mode, as in tests; on a cluster, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="corpus-")
     return _own[app]
@@ -35,6 +38,19 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of the Arrow batches in which texts go to Python workers.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, for mapInArrow: where the session has Spark's defaults, its Arrow batches are made smaller, as those hold 10,000 texts of any length, on both sides."""
+    conf = df.sparkSession.conf
+    for key, (default, ours) in ARROW_LIMITS.items():
+        if conf.get(key, default) == default:
+            conf.set(key, ours)
+    return df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` evaluated once, however often (or deep inside other lambdas) it is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,35 +1,26 @@
 """Vectorised words, word hashes and window hashes over many texts at once (numpy on UTF-8 bytes).
 
 Words are parted by ASCII white space, which UTF-8 never uses inside a character, so bytes give the same words as
-code points. Hashes are 64-bit; nothing here keeps state between calls.
+code points. A word's hash is XXH3 (128 bits, kept as two halves), taken once for each distinct word of a batch. A window's hash folds
+its words' hashes one after the other through a nonlinear step, so equal hashes don't follow from how words repeat or swap
+places. Where equality decides alone, both halves are used; nothing here keeps state between calls.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so they have inverses modulo 2 ** 64
+_P = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        x = np.full(size, base, U)
-        x[0] = 1
-        have = np.cumprod(x, dtype=U)
-        if size <= 1 << 23:
-            _powers[base] = have
-    return have[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,22 +51,27 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A hash by word: equal words have equal hashes."""
-        n = len(self.bytes)
-        sums = np.zeros(n + 1, U)
-        np.cumsum((self.bytes.astype(U) + U(1)) * powers(_P, n), out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * powers(pow(_P, -1, 1 << 64), n)[self.start]
-        return mixed(h + (self.end - self.start).astype(U) * U(0xD6E8FEB86659FD93))
+        """Two 64-bit hashes by word, as two rows: equal words have equal hashes."""
+        n = len(self)
+        if not n:
+            return np.zeros((2, 0), U)
+        offsets = np.zeros(n + 1, np.int64)
+        np.cumsum(self.end - self.start, out=offsets[1:])
+        flat = self.bytes[~_SPACE[self.bytes]]
+        coded = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+        unique = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), ">u8").astype(U).reshape(-1, 2)
+        return np.ascontiguousarray(unique[coded.indices.to_numpy()].T)
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash by window of ``size`` consecutive words, by start; windows may cross from one text to the next."""
-    n = len(hashes)
-    if n < size:
-        return np.zeros(0, U)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(hashes * powers(_Q, n), out=sums[1:])
-    return mixed((sums[size:] - sums[: n - size + 1]) * powers(pow(_Q, -1, 1 << 64), n)[: n - size + 1])
+    n = max(0, len(hashes) - size + 1)
+    x = hashes[:n].copy()
+    for k in range(1, size):
+        x ^= x >> U(29)
+        x *= U(_P)
+        x += hashes[k : k + n]
+    return mixed(x)
 
 
 def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,22 +81,30 @@ def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[:-1][text], text
 
 
-def sets(texts: list[bytes], size: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, sorted within it, and where each text's begin. A text of fewer than ``size`` words has all of them as its one shingle; one without words has none."""
+def sets(texts: list[bytes], size: int, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, sorted within it, where each text's begin, and the shingles' second hashes. A text of fewer than ``size`` words has all of them as its one shingle; one without words has none."""
     ws = Words(texts, lower)
-    h, counts = ws.hashes(), ws.counts()
-    start, text = window_starts(ws.first, size)
-    values = windows(h, size)[start] if len(start) else np.zeros(0, U)
-    short = np.flatnonzero((counts > 0) & (counts < size))
-    if len(short):
-        whole = np.array([np.sum(h[ws.first[i] : ws.first[i + 1]] * powers(_Q, counts[i]), dtype=U) for i in short], U)
-        values, text = np.concatenate([values, mixed(whole + counts[short].astype(U))]), np.concatenate([text, short])
+    both, counts = ws.hashes(), ws.counts()
+    at, text = window_starts(ws.first, size)
+    parts, texts_of = [[windows(h, size)[at] for h in both]], [text]
+    for n in range(1, size):
+        short = np.flatnonzero(counts == n)
+        if len(short):
+            parts.append([mixed(windows(h, n)[ws.first[short]] + U(n)) for h in both])
+            texts_of.append(short)
+    values, more, text = *(np.concatenate(x) for x in zip(*parts, strict=True)), np.concatenate(texts_of)
     order = np.lexsort((values, text))
-    values, text = values[order], text[order]
+    values, more, text = values[order], more[order], text[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
-    values, text = values[new], text[new]
-    return values, np.searchsorted(text, np.arange(len(texts) + 1))
+    values, more, text = values[new], more[new], text[new]
+    return values, np.searchsorted(text, np.arange(len(texts) + 1)), more
+
+
+def rowwise(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple]:
+    """Rows of a batch as tuples; only ``size`` of them are Python objects at a time."""
+    for k in range(0, batch.num_rows, size):
+        yield from zip(*(c.to_pylist() for c in batch.slice(k, size).columns), strict=True)
 
 
 def batches(rows: Iterable, size_of, limit: int = 2_000_000) -> Iterator[list]:
@@ -114,3 +118,16 @@ def batches(rows: Iterable, size_of, limit: int = 2_000_000) -> Iterator[list]:
             some, total = [], 0
     if some:
         yield some
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not the GNU C library
+    _trim = None
+
+
+def released() -> None:
+    """Gives freed memory back to the system; for the end of a task, as Python workers outlive it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)

@@ -1,6 +1,6 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, exact verification, union-find grouping.
 
-1. One pass over the texts gives each document its number of distinct shingles, a 128-bit hash of the set and one hash
+1. One pass over the texts gives each document its number of distinct shingles, a 128-bit hash of the set (of two independent hashes of each shingle) and one hash
    per band of its signature. Documents with equal sets form a class, known by its smallest doc_id; from here on only
    classes count.
 2. Classes that share a band are candidates. First each is linked to the smallest class of its band (a star, so a
@@ -26,30 +26,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import checked, staged
+from .base import checked, lean, staged
 from .components import components
-from .hashing import U, batches, mixed, sets
+from .hashing import U, batches, mixed, released, rowwise, sets
 from .superminhash import signatures
 
 BANDS, ROWS = 20, 3
 #: Bytes of full sets and bands in a block of a band's members; two blocks meet in one task.
 BLOCK_BYTES = 8_000_000
+#: Bytes of texts whose shingles a task takes at a time.
+TEXT_BYTES = 1_000_000
 #: Pairs looked at together.
 PAIRS = 500_000
 
 
-def _texts(batch: pa.RecordBatch) -> list[tuple[int | None, bytes]]:
-    return [(i, t or b"") for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True)]
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+    raw = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.large_binary())], ["doc_id", "text"])
+    return ((i, t or b"") for i, t in rowwise(raw))
 
 
 def _signed(size: int, lower: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for rows in batches(_texts(batch), lambda r: len(r[1])):
-                values, at = sets([t for _, t in rows], size, lower)
+            for rows in batches(_texts(batch), lambda r: len(r[1]), TEXT_BYTES):
+                values, at, others = sets([t for _, t in rows], size, lower)
                 n = np.diff(at)
                 sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(values), dtype=U)])
-                more = np.concatenate([np.zeros(1, U), np.cumsum(mixed(values ^ U(0xA5A5A5A5A5A5A5A5)), dtype=U)])
+                more = np.concatenate([np.zeros(1, U), np.cumsum(mixed(others), dtype=U)])
                 sig = signatures(values, at, BANDS * ROWS)
                 small = mixed(np.ascontiguousarray(np.where(np.isinf(sig), 0, sig)).view(U))
                 bands = mixed((small.reshape(-1, BANDS, ROWS) * np.array([1, 3, 5], U)).sum(2, dtype=U) + np.arange(BANDS, dtype=U))
@@ -59,6 +62,7 @@ def _signed(size: int, lower: bool):
                         "bands": pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), "sig": pa.array([x.tobytes() for x in (small >> U(56)).astype(np.uint8)], pa.binary()),
                     }
                 )
+        released()
 
     return run
 
@@ -66,9 +70,10 @@ def _signed(size: int, lower: bool):
 def _sets(size: int, lower: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for rows in batches(_texts(batch), lambda r: len(r[1])):
-                values, at = sets([t for _, t in rows], size, lower)
+            for rows in batches(_texts(batch), lambda r: len(r[1]), TEXT_BYTES):
+                values, at, _ = sets([t for _, t in rows], size, lower)
                 yield pa.RecordBatch.from_pydict({"rep": pa.array([i for i, _ in rows], pa.int64()), "members": pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+        released()
 
     return run
 
@@ -124,13 +129,14 @@ def _linked(percent: int):
                             u.append(max(rx[a], ry[b]))
                             v.append(min(rx[a], ry[b]))
             yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        released()
 
     return run
 
 
 def groups(docs: DataFrame, size: int = 4, percent: int = 80, lower: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text; other columns are ignored)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = lean(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     signed = staged(texts.mapInArrow(_signed(size, lower), "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"))
     live = signed.where("n > 0 and doc_id is not null")
     classes = staged(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))

@@ -5,13 +5,14 @@ Difference-cover anchors. Windows of ANCHOR = 7 words are hashed only where the
 there is a shift below 7 that puts both on cover positions, and the 7-word anchor there lies inside the agreement. So:
 
 1. anchors of all documents meet by hash; those seen in two documents or more are shared;
-2. around shared anchors only, each match is extended: the 13-word windows over the anchor are hashed and meet by hash,
-   and all but the smallest doc_id learn that their window is a repeat;
+2. around shared anchors only, each match is extended: the 13-word windows over the anchor are hashed (128 bits, so that
+   equal hashes stand for equal words) and meet by hash, and all but the smallest doc_id learn that their window is a repeat;
 3. the words under repeated windows are removed.
 
 What meets is packed: a task sends one row for each hash range and piece of input, holding arrays. A hash that many
-documents of a piece share is settled within the piece and sent once, so a passage that a third of all documents hold
-costs a few entries for each 2 MB of text, not one for each document.
+documents of a piece share is settled within the piece and sent once; a task remembers (at most KNOWN) such hashes, and
+settles them in its later pieces too. So a passage that a third of all documents hold costs a group a few entries for
+each task, not one for each document.
 
 Defined results: null, empty and blank texts have no words (kept text empty); documents of fewer than 13 words keep all;
 repeated rows (same doc_id) don't remove each other's words and are each judged by their own text; a row whose doc_id is
@@ -28,20 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checked, staged
-from .hashing import U, Words, batches, window_starts, windows
+from .base import checked, lean, staged
+from .hashing import U, Words, batches, released, rowwise, window_starts, windows
 
 SIZE = 13
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
 #: Bytes of text for which one more hash range is made.
 RANGE_BYTES = 4_000_000
+#: Hashes that a task remembers as met in several documents; it loses nothing by forgetting some.
+KNOWN = 100_000
 PACKED = "part int, settled boolean, range int, hashes binary, base long, docs binary, tags binary, places binary"
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 
 
-def _rows(batch: pa.RecordBatch) -> list[tuple]:
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     cols = [c.cast(pa.large_binary()) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c for c in batch.columns]
-    return [(*r,) for r in zip(*(c.to_pylist() for c in cols), strict=True)]
+    return rowwise(pa.RecordBatch.from_arrays(cols, batch.schema.names))
 
 
 def _anchors(ws: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,7 +53,7 @@ def _anchors(ws: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = start - ws.first[text]
     ok = _COVERED[place % PERIOD] & (ws.counts()[text] >= SIZE)
     start, text, place = start[ok], text[ok], place[ok]
-    return (windows(ws.hashes(), ANCHOR)[start] if len(start) else np.zeros(0, U)), text, place
+    return windows(ws.hashes()[0], ANCHOR)[start], text, place
 
 
 def _pack(part: int, settled: bool, rng: int, hashes: np.ndarray, docs: np.ndarray, tags=None, places=None) -> tuple:
@@ -77,16 +80,44 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
-def _first_of_run(x: np.ndarray) -> np.ndarray:
-    new = np.ones(len(x), bool)
-    new[1:] = x[1:] != x[:-1]
+def _first_of_run(*xs: np.ndarray) -> np.ndarray:
+    new = np.ones(len(xs[0]), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in xs], 0)
     return new
 
 
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal values; none of an empty array."""
+    cuts = [*np.flatnonzero(_first_of_run(x)).tolist(), len(x)]
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
+class _Known:
+    """Hashes (pairs of 64 bits) that a task has met in several documents, and the smallest doc_id it has sent for each; the latest KNOWN."""
+
+    def __init__(self):
+        self.h, self.g, self.doc = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
+
+    def least(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and the doc_id of each (0 if not)."""
+        if not len(self.h):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        k = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return (found := (self.h[k] == h) & (self.g[k] == g)), np.where(found, self.doc[k], 0)
+
+    def add(self, h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> None:
+        h, g, doc = (np.concatenate(x)[:KNOWN] for x in ((h, self.h), (g, self.g), (doc, self.doc)))
+        order = np.lexsort((doc, g, h))
+        h, g, doc = h[order], g[order], doc[order]
+        new = _first_of_run(h)
+        self.h, self.g, self.doc = h[new], g[new], doc[new]
+
+
 def _emit_anchors(bits: int):
     """(doc_id, text) to packed rows: the anchors of each piece once, and those that two of its documents share as settled."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
         for batch in it:
             for rows in batches(_rows(batch), lambda r: len(r[1])):
                 ids = np.array([r[0] for r in rows], np.int64)
@@ -95,19 +126,21 @@ def _emit_anchors(bits: int):
                 order = np.lexsort((ids[text], h))
                 h, doc = h[order], ids[text][order]
                 new = _first_of_run(h)
-                run_no = np.cumsum(new) - 1
                 first, last = doc[new], doc[np.append(np.flatnonzero(new)[1:], len(h)) - 1] if len(h) else doc
-                out, shared = [], (first != last)[run_no] if len(h) else np.zeros(0, bool)
+                met, _ = known.least(h[new], h[new])
+                several = first != last
+                out, shared = [], (several | met)[np.cumsum(new) - 1] if len(h) else np.zeros(0, bool)
                 if shared.any():
                     out.append(_pack(int(ids.sum()) % (1 << max(bits, 1)), True, 0, h[shared], doc[shared]))
-                h, doc = h[new], first
+                known.add(h[new][several], h[new][several], first[several])
+                h, doc = h[new][~met], first[~met]
                 rng = _ranges(bits, h)
-                cuts = np.flatnonzero(_first_of_run(rng))
                 low = ((h << U(bits)) >> U(32)).astype(np.uint32)
-                for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
+                for a, b in _runs(rng):
                     out.append(_pack(int(rng[a]), False, int(rng[a]), low[a:b], doc[a:b]))
                 if out:
                     yield _batch(out)
+        released()
 
     return run
 
@@ -144,6 +177,7 @@ def _emit_windows(bits: int):
     """(doc_id, text, tag, anchors) to packed rows: windows over shared anchors, smallest doc_id of a piece first."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
         for batch in it:
             for rows in batches(_rows(batch), lambda r: len(r[1])):
                 ids, tags = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64).astype(np.uint32)
@@ -164,21 +198,27 @@ def _emit_windows(bits: int):
                 start = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
                 text = np.searchsorted(ws.first, start, "right") - 1
                 place = start - ws.first[text]
-                h = windows(ws.hashes(), SIZE)[start] if len(start) else np.zeros(0, U)
-                order = np.lexsort((ids[text], h))
-                h, text, place = h[order], text[order], place[order]
-                doc, new = ids[text], _first_of_run(h)
-                least = doc[new][np.cumsum(new) - 1] if len(h) else doc
-                out, later = [], doc > least
-                if later.any():  # repeats of a window within the piece
+                h, g = (windows(x, SIZE)[start] for x in ws.hashes())
+                order = np.lexsort((ids[text], g, h))
+                h, g, text, place = h[order], g[order], text[order], place[order]
+                doc, new = ids[text], _first_of_run(h, g)
+                if not len(h):
+                    continue
+                run_no, firsts = np.cumsum(new) - 1, doc[new]
+                met, sent = known.least(h[new], g[new])
+                least = np.where(met, np.minimum(firsts, sent), firsts)
+                several = met | (doc[np.append(np.flatnonzero(new)[1:], len(h)) - 1] != firsts)
+                known.add(h[new][several], g[new][several], least[several])
+                out, later = [], doc > least[run_no]
+                if later.any():  # repeats of a window within what the task has read
                     out.append(_pack(int(ids.sum()) % (1 << max(bits, 1)), True, 0, np.zeros(0, U), doc[later], tags[text[later]], place[later]))
-                h, doc, text, place = h[~later], doc[~later], text[~later], place[~later]
+                h, g, doc, text, place = h[~later], g[~later], doc[~later], text[~later], place[~later]
                 rng = _ranges(bits, h)
-                cuts = np.flatnonzero(_first_of_run(rng))
-                for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
-                    out.append(_pack(int(rng[a]), False, int(rng[a]), h[a:b], doc[a:b], tags[text[a:b]], place[a:b]))
+                for a, b in _runs(rng):
+                    out.append(_pack(int(rng[a]), False, int(rng[a]), np.concatenate([h[a:b], g[a:b]]), doc[a:b], tags[text[a:b]], place[a:b]))
                 if out:
                     yield _batch(out)
+        released()
 
     return run
 
@@ -189,12 +229,12 @@ def _meet_windows(table: pa.Table) -> pa.Table:
     for _, settled, _, raw, base, off, tags, places in zip(*(c.to_pylist() for c in table.columns), strict=True):
         t, p = np.frombuffer(tags, np.uint32), np.frombuffer(places, np.uint32)
         x = (_unpack_docs(base, off, len(t)), t, p)
-        got.append(x) if settled else open_.append((*x, np.frombuffer(raw, U)))
+        got.append(x) if settled else open_.append((*x, *np.frombuffer(raw, U).reshape(2, -1)))
     if open_:
-        doc, t, p, h = (np.concatenate(x) for x in zip(*open_, strict=True))
-        order = np.lexsort((doc, h))
-        doc, t, p, h = doc[order], t[order], p[order], h[order]
-        new = _first_of_run(h)
+        doc, t, p, h, g = (np.concatenate(x) for x in zip(*open_, strict=True))
+        order = np.lexsort((doc, g, h))
+        doc, t, p, h, g = doc[order], t[order], p[order], h[order], g[order]
+        new = _first_of_run(h, g)
         later = doc > doc[new][np.cumsum(new) - 1]
         got.append((doc[later], t[later], p[later]))
     doc, t, p = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -229,13 +269,14 @@ def _kept(digest: bool):
                 left = [flat[a : max(a, b - 1)] for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 last = [hashlib.sha256(x).hexdigest() for x in left] if digest else [x.decode() for x in left]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(ws.counts().astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(last, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+        released()
 
     return run
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, places): starts of the repeated windows of each document that has any; tag tells rows of one doc_id apart by text."""
-    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = lean(docs).where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(30, max(4, int(np.ceil(np.log2(total / RANGE_BYTES + 1)))))
     sent = texts.mapInArrow(_emit_anchors(bits), PACKED)
@@ -243,7 +284,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     ids = checked(hits.select("doc_id"), 16)
     some = texts.join(ids, "doc_id", "left_semi").withColumn("tag", _tag("text")).join(hits, "doc_id").select("doc_id", "text", "tag", "anchors")
     found = some.mapInArrow(_emit_windows(bits), PACKED).groupBy("part").applyInArrow(_meet_windows, "doc_id long, tag long, place long")
-    return staged(found.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places")))
+    return staged(found.groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places")))
 
 
 def _tag(column: str):
@@ -254,7 +295,7 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept), one row for each row of ``docs``; kept is the text that is left or, with ``digest``, its SHA-256."""
     found = repeats(docs)
     ids = checked(found.select("doc_id").distinct(), 16)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, n_words long, n_removed long, kept string"
     clean = texts.join(ids, "doc_id", "left_anti").mapInArrow(_kept(digest), schema)
     cut = texts.join(ids, "doc_id", "left_semi").withColumn("tag", _tag("text")).join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "places").mapInArrow(_kept(digest), schema)
