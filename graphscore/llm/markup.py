@@ -7,7 +7,7 @@ labels, content and rest; it is trained here, by gradient descent on the exact l
 
 Defined results: a null or empty page, or one without content, has the empty text; unclosed and stray tags are repaired as
 browsers do (a close tag without its open tag is ignored, a new paragraph ends the last, text or a tag that cannot stand
-in a head ends it); an unclosed script, style or comment hides the rest of the page; null or repeated ids are rows of their own; an empty table gives an empty result.
+in a head ends it); an unclosed script, style or comment hides the rest of the page; a tag that the end of the page cuts off is dropped, any other "<" is text; null or repeated ids are rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import batches
+from .base import lean
+from .hashing import batches, rowwise
 
 # Names of HTML elements by what they do to a run of text.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -34,6 +35,7 @@ UNSEEN = set("script style template iframe noscript svg math canvas audio video
 IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes style script template".split())
 RAW = "script|style|textarea|title|iframe|noscript|template|xmp"
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+HOLDS_P = {"article", "div", "section", "td", "li", "body", "blockquote", "main", "aside", "footer", "nav", "header", "table", "button"}
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 TAGS = "article main section nav header footer aside form button table ul ol dl blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 p li td div dialog menu address fieldset".split()
 # Words of class, id and role by what they tell.
@@ -53,13 +55,73 @@ TEXT_FEATURES = ["short", "medium", "long", "stop", "links", "all_links", "copyr
 NAMES = ["bias", *(f"in:{t}" for t in TAGS), *(f"leaf:{t}" for t in TAGS), *(f"cue:{c}" for c in CUES), *(f"near:{c}" for c in CUES), "article:header", "article:menu", *TEXT_FEATURES]
 AT = {n: k for k, n in enumerate(NAMES)}
 
-_TAG = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>")
+_START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+# a quote counts only after "="; one that is never closed counts as any other character
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
+_RAW_END = {name: re.compile(rf"(?i)</{name}(?=[\s/>])") for name in RAW.split("|")}
+_ZEROS, _DIGITS = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,}")
 _CUED = re.compile(r"(?is)\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_CLOSED = re.compile(r"(?:\A|[\s\"'])/\Z")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond Unicode, however long, are the replacement character."""
+    if "&" not in text:
+        return text
+    return entities.unescape(_DIGITS.sub("&#1114112", _ZEROS.sub("&#", text)))
+
+
+@dataclass(frozen=True, slots=True)
+class Tag:
+    """A tag, a comment (no name) or a raw element (script and the like) with all it holds, at start .. end; ``inner`` is where a raw element's content ends, else -1."""
+
+    start: int
+    end: int
+    close: bool
+    name: str
+    attributes: str
+    inner: int = -1
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """All tags of a page in one scan, whose time is proportional to its length; what lies between them is text.
+
+    Comments and raw elements that are never closed reach to the end. A tag whose end is not found although quotes are skipped is read again
+    without regard to quotes, as is all after it. Of tag starts after the last ">" only the last is a tag, cut off by the end of the page; the others are text.
+    """
+    at, n, quotes = 0, len(page), True
+    while m := _START.search(page, at):
+        if not m[2]:
+            end = page.find("-->", m.start() + 2) + 3 if m[0] == "<!--" else page.find(">", m.end()) + 1
+            if m[0] != "<!--" and not end:
+                break
+            at = end if end > 2 else n
+            yield Tag(m.start(), at, False, "", "")
+            continue
+        name = m[2].lower()
+        rest = _REST.match(page, m.end()) if quotes else None
+        if rest:
+            attributes, end = rest[1], rest.end()
+        else:
+            quotes, end = False, page.find(">", m.end()) + 1
+            if not end:
+                break
+            attributes = page[m.end() : end - 1]
+        if name in _RAW_END and not m[1]:
+            last = _RAW_END[name].search(page, end)
+            inner, at = (last.start(), page.find(">", last.end()) + 1 or n) if last else (n, n)
+            yield Tag(m.start(), at, False, name, attributes, inner)
+            continue
+        at = end
+        yield Tag(m.start(), at, bool(m[1]), name, attributes)
+    last = page.rfind("<", at)
+    if last >= 0 and re.match(r"</?[a-zA-Z]|<[!?/]|<\Z", page[last : last + 3]):
+        yield Tag(last, n, False, "", "")
+
+
 @functools.lru_cache(20_000)
 def _cues(attributes: str) -> frozenset[str]:
     found = set()
@@ -77,6 +139,8 @@ class _Open:
     path: frozenset[int]
     hidden: bool
     link: bool
+    #: Its name, or that of the nearest element around it that isn't inline.
+    leaf: str = ""
 
 
 @functools.lru_cache(50_000)
@@ -95,11 +159,12 @@ def blocks(page: str) -> list[tuple[str, frozenset[int]]]:
     """Leaf blocks in page order: text (decoded, white space made one space, trimmed, not empty) and features."""
     root = _Open("", frozenset({0}), False, False)
     stack, out, run, linked = [root], [], [], 0
+    places: dict[str, list[int]] = {}  # by tag, where it is open
     seen_leaf: list = [root, ""]
 
     def end() -> None:
         nonlocal linked
-        text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
+        text = _SPACE.sub(" ", decoded("".join(run))).strip()
         run.clear()
         if text:
             n, letters = len(text), _LETTER.search(text) is not None
@@ -115,51 +180,53 @@ def blocks(page: str) -> list[tuple[str, frozenset[int]]]:
     def add(text: str) -> None:
         nonlocal linked
         if stack[-1].tag == "head" and text.strip(" \t\n\f\r"):
-            stack.pop()
+            cut(len(stack) - 1)
         if text and not stack[-1].hidden:
             if not run:
-                seen_leaf[0], seen_leaf[1] = stack[-1], next((x.tag for x in reversed(stack) if x.tag not in INLINE), "")
+                seen_leaf[0], seen_leaf[1] = stack[-1], stack[-1].leaf
             run.append(text)
             if stack[-1].link:
                 linked += len(text)
 
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            places[x.tag].pop()
+        del stack[k:]
+
     def close(tag: str, within: set[str] | None = None) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                del stack[k:]
-                return
-            if within and stack[k].tag in within:
-                return
+        k = places[tag][-1] if places.get(tag) else 0
+        if k and not any(places.get(x) and places[x][-1] > k for x in within or ()):
+            cut(k)
 
     at = 0
-    for m in _TAG.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if m[1]:
-            if m[1].lower() not in ("textarea", "noscript") and m[1].lower() != "title":
-                continue
-            end()
+    for m in tags(page):
+        add(page[at : m.start])
+        at = m.end
+        tag = m.name
+        if m.inner >= 0:
+            if tag in ("textarea", "noscript", "title"):
+                end()
+            continue
         if not tag:
             continue
         if tag not in INLINE:
             end()
-        if stack[-1].tag == "head" and not m[2] and tag not in IN_HEAD:
-            stack.pop()
-        if m[2]:
+        if stack[-1].tag == "head" and not m.close and tag not in IN_HEAD:
+            cut(len(stack) - 1)
+        if m.close:
             close(tag)
         elif tag in VOID:
             continue
         else:
             if tag in ENDS_P:
-                close("p", {"article", "div", "section", "td", "li", "body", "blockquote", "main", "aside", "footer", "nav", "header", "table", "button"})
+                close("p", HOLDS_P)
             if tag in SIBLINGS:
                 close(tag, SIBLINGS[tag])
-            if not m[4].endswith("/"):
+            if not _CLOSED.search(m.attributes):
                 top = stack[-1]
-                stack.append(_Open(tag, _inside(top.path, tag, _cues(m[4]) if "=" in m[4] else frozenset()), top.hidden or tag in UNSEEN, tag == "a" or (top.link and tag in INLINE)))
-    rest = page[at:]
-    add(rest[: rest.index("<")] if re.search(r"(?s)<[a-zA-Z/!][^>]*\Z", rest) and "<" in rest else rest)
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(_Open(tag, _inside(top.path, tag, _cues(m.attributes) if "=" in m.attributes else frozenset()), top.hidden or tag in UNSEEN, tag == "a" or (top.link and tag in INLINE), top.leaf if tag in INLINE else tag))
+    add(page[at:])
     end()
     if out:
         out[0][1].add(AT["first"])
@@ -361,12 +428,11 @@ def extracted(pages: DataFrame, model: Field | None = None) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            every = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            for rows in batches(every, lambda r: len(r[2] or "")):
+            for rows in batches(rowwise(batch), lambda r: len(r[2] or "")):
                 texts = [main_text(r[2], shared.value) for r in rows]
                 yield pa.RecordBatch.from_pydict({"page_id": pa.array([r[0] for r in rows], pa.int64()), "url": pa.array([r[1] for r in rows], pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return lean(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
