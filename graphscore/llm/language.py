@@ -2,10 +2,11 @@
 
 For each row: log P(text | language) from byte trigrams, the language its markup declares, the suffix or path of its
 address, and a prior for its host. Host priors come from grouped counts: hosts are smoothed towards their domain, domains
-towards the whole corpus; a row's own count is left out of its prior.
+towards the whole table; a row's own count is left out of the counts of its host and domain. Tables that are identified together
+(column ``of``) have priors of their own.
 
-The trigram model is fitted on at most SAMPLE labelled rows (smallest hashes of doc_id, so reruns agree); everything else
-covers all rows.
+The trigram model is fitted on the first CLIP characters of at most SAMPLE labelled rows (of each language the smallest hashes of doc_id,
+so reruns agree), or of one of each language if there are more; everything else covers all rows and whole texts.
 
 Defined results: null or empty texts and missing evidence say nothing (all languages alike, the prior decides); a null host
 is a host of its own; null or repeated ids are rows of their own; without labelled rows the languages are DEFAULT and the
@@ -14,7 +15,6 @@ text says nothing; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import checked, let, staged
-from .hashing import batches
+from .base import checked, lean, let, staged
+from .hashing import batches, rowwise
+from .markup import decoded, tags
 
-SAMPLE = 1000
+SAMPLE, CLIP = 1000, 20_000
 DEFAULT = ("de", "en", "es", "fr")
 BITS = 16
 #: Trigrams are no independent witnesses: a text counts as at most this many of them.
@@ -40,8 +41,8 @@ HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
 # Country suffixes that point to a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt", "pl": "pl", "se": "sv"}
 
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<(?:\"[^\"]*\"|'[^']*'|[^'\">])*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?([a-z]+)|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]+)")
+_LANG = re.compile(r"(?i)(?:\A|[\s\"'])(?:xml:)?lang\s*+=\s*+[\"']?([a-z]+)")
+_CONTENT = re.compile(r"(?i)(?:\A|[\s\"'])content\s*+=\s*+[\"']?([a-z]+)")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -83,22 +84,29 @@ def fit(rows: list[tuple[str, str]]) -> TextModel:
 
 
 def sample(docs: DataFrame, n: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``n`` labelled rows (lang, text) of ``docs``, as many of each language where it has them, and one at least."""
+    """At most ``n`` labelled rows (lang, begin of text) of ``docs``, as many of each language where it has them, and one at least. Rows are chosen by id alone; of rows that share an id and a language one counts."""
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     each = max(1, n // max(1, labelled.select("lang").distinct().count()))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
-    return sorted((r["lang"], r["text"]) for r in some.collect())
-
-
-def visible(markup: str) -> str:
-    """The text between tags, without scripts, styles and comments."""
-    return entities.unescape(_HIDDEN.sub(" ", markup))
-
-
-def declared(markup: str) -> str | None:
-    m = _LANG.search(markup)
-    return (m[1] or m[2]).lower() if m else None
+    ids = labelled.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id")).distinct()
+    some = labelled.join(checked(staged(ids), 32), (F.col("lang") == F.col("__lang")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    some = some.groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text"), F.substring("text", 1, CLIP).alias("text"))).alias("x"))
+    return sorted((r["lang"], r["text"]) for r in some.select("lang", "x.text").collect())
+
+
+def read(page: str) -> tuple[str, str | None]:
+    """The text between tags, without scripts, styles and comments, and the language that the page declares, if any: the first of its html tag or of its meta tags."""
+    out, language, at = [], None, 0
+    for t in tags(page):
+        out.append(page[at : t.start])
+        at = t.end
+        if t.inner >= 0 and t.name not in ("script", "style"):
+            out.append(page[t.start : t.inner].partition(">")[2])
+        if language is None and not t.close:
+            m = _LANG.search(t.attributes) if t.name == "html" else _CONTENT.search(t.attributes) if t.name == "meta" and "content-language" in t.attributes.lower() else None
+            language = m[1].lower() if m else None
+    out.append(page[at:])
+    return decoded(" ".join(out)), language
 
 
 def address(url: str | None) -> tuple[str | None, str | None, str | None]:
@@ -129,14 +137,14 @@ def _evidence(model, markup: bool):
             return out
 
         for batch in it:
-            every = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            for rows in batches(every, lambda r: len(r[1] or "")):
-                texts = [(visible(r[1]) if markup else r[1]) if r[1] else "" for r in rows]
+            for rows in batches(rowwise(batch), lambda r: len(r[1] or "")):
+                pages = [(read(r[1]) if markup else (r[1], None)) if r[1] else ("", None) for r in rows]
+                texts = [t for t, _ in pages]
                 like = m.scores([t.encode() for t in texts])
                 places = [address(r[2]) if markup else (r[2], None, None) for r in rows]
                 if markup:
-                    for k, r in enumerate(rows):
-                        like[k] += says(declared(r[1]) if r[1] else None, DECLARED) + says(places[k][2], ADDRESS)
+                    for k in range(len(rows)):
+                        like[k] += says(pages[k][1], DECLARED) + says(places[k][2], ADDRESS)
                 yield pa.RecordBatch.from_pydict({"id": pa.array([r[0] for r in rows], pa.int64()), "host": pa.array([p[0] for p in places], pa.string()), "domain": pa.array([p[1] for p in places], pa.string()), "loglik": pa.array(list(like), pa.list_(pa.float64()))})
 
     return run
@@ -148,22 +156,22 @@ def _best(scores: Column) -> Column:
 
 
 def identified(rows: DataFrame, model: TextModel) -> DataFrame:
-    """``rows`` (staged; with host, domain, loglik) and lang, probability: evidence fused with the host's prior."""
+    """``rows`` (staged; with host, domain, loglik and, of several tables, ``of``) and lang, probability: evidence fused with the host's prior."""
     n = len(model.languages)
-    counted = rows.select("host", "domain", _best(F.col("loglik")).alias("k"))
-    each = [F.sum((F.col("k") == j).cast("double")).alias(f"c{j}") for j in range(n)]
-    hosts = staged(counted.groupBy("domain", "host").agg(*each))
-    total = hosts.agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(n))).first()
-    corpus = [((total[j] or 0.0) + 1.0) for j in range(n)]
-    corpus = [x / sum(corpus) for x in corpus]
-    domains = hosts.groupBy("domain").agg(F.array(*(F.sum(f"c{j}") for j in range(n))).alias("in_domain"))
-    counts = hosts.select(F.col("domain").alias("d"), F.col("host").alias("h"), F.array(*(F.col(f"c{j}") for j in range(n))).alias("in_host"))
-    counts = counts.join(domains, F.col("d").eqNullSafe(domains["domain"])).select("d", "h", "in_host", "in_domain")
-    known = checked(staged(counts), 64 + 16 * n)
-
-    x = rows.join(known, F.col("domain").eqNullSafe(F.col("d")) & F.col("host").eqNullSafe(F.col("h"))).drop("d", "h")
-    top = F.array(*map(F.lit, corpus))
+    of = F.col("of") if "of" in rows.columns else F.lit("")
     total_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
+    counted = rows.select(of.alias("t"), F.col("host").alias("h"), F.col("domain").alias("d"), _best(F.col("loglik")).alias("k"))
+    each = [F.sum((F.col("k") == j).cast("double")).alias(f"c{j}") for j in range(n)]
+    hosts = staged(counted.groupBy("t", "d", "h").agg(*each))
+    sums = F.array(*(F.sum(f"c{j}") for j in range(n)))
+    domains = hosts.groupBy(F.col("t").alias("dt"), F.col("d").alias("dd")).agg(sums.alias("in_domain"))
+    tables = hosts.groupBy(F.col("t").alias("tt")).agg(sums.alias("s")).select("tt", F.transform("s", lambda c: (c + 1) / (total_of(F.col("s")) + n)).alias("in_table"))
+    counts = hosts.select("t", "d", "h", F.array(*(F.col(f"c{j}") for j in range(n))).alias("in_host"))
+    counts = counts.join(domains, F.col("t").eqNullSafe(F.col("dt")) & F.col("d").eqNullSafe(F.col("dd"))).join(tables, F.col("t").eqNullSafe(F.col("tt"))).drop("dt", "dd", "tt")
+    known = checked(staged(counts), 64 + 24 * n)
+
+    x = rows.withColumn("__of", of).join(known, F.col("__of").eqNullSafe(F.col("t")) & F.col("domain").eqNullSafe(F.col("d")) & F.col("host").eqNullSafe(F.col("h"))).drop("t", "d", "h", "__of")
+    top = F.col("in_table")
     smooth = lambda counts, up, weight: let(total_of(counts), lambda s: F.zip_with(counts, up, lambda c, u: (c + weight * u) / (s + weight)))
 
     def fused(own: Column) -> Column:
@@ -183,7 +191,7 @@ def identified(rows: DataFrame, model: TextModel) -> DataFrame:
 def evidence(source: DataFrame, model: TextModel, id_: str, text: str, place: str, markup: bool) -> DataFrame:
     """(id, host, domain, loglik) of ``source``: of web pages by html and url, else of plain texts whose ``place`` stands for the host."""
     shared = source.sparkSession.sparkContext.broadcast(model)
-    return source.select(F.col(id_).cast("long"), F.col(text).cast("string"), F.col(place).cast("string")).mapInArrow(_evidence(shared, markup), "id long, host string, domain string, loglik array<double>")
+    return lean(source.select(F.col(id_).cast("long"), F.col(text).cast("string"), F.col(place).cast("string"))).mapInArrow(_evidence(shared, markup), "id long, host string, domain string, loglik array<double>")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -127,24 +127,66 @@ def test_mixing(spark, docs, rows, empty):
     for r in got:
         by_source[r["source"]] += taken.get(r["rid"], 0)
     assert all(abs(by_source[s] - target[s]) <= 64 + 0.01 * target[s] for s in order)
-    again = {r["rid"]: r["n"] for r in mixing.plan(docs, 64)[2].groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).collect()}
-    assert Counter(again.values()) == Counter(taken.values())
+    by_text = Counter((r["doc_id"], r["key"], taken.get(r["rid"], 0)) for r in got)
+    other, _, again = mixing.plan(docs.repartition(3), 64)  # reruns agree by document
+    again = {r["rid"]: r["n"] for r in again.groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).collect()}
+    assert Counter((r["doc_id"], r["key"], again.get(r["rid"], 0)) for r in other.collect()) == by_text
     out = mixing.mixed(docs, 64)
     assert out.columns == docs.columns and sum(len(split(r["text"])) for r in out.collect()) == sum(taken.values())
     assert mixing.mixed(empty).isEmpty()
 
 
-def test_takes_are_dealt_to_shards_at_random(spark, monkeypatch):
-    """What is taken goes to a shard; a source's slots over the shards are one draw of its target."""
+def test_takes_are_dealt_to_shards_at_random(spark, monkeypatch, tmp_path):
+    """What is taken goes to a shard; a source's slots over the shards are one multinomial draw of its target."""
     monkeypatch.setattr(mixing, "SHARD", 100)
-    docs = spark.range(80).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), 640), " ").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
-    _, slots, takes = mixing.plan(docs, 64)
-    dealt, words_of = Counter(r["shard"] for r in slots.collect()), Counter()
+    docs = spark.range(80).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(640)), lambda k: F.concat(F.lit("w"), F.col("id"), F.lit("x"), k)), " ").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    sized, slots, takes = mixing.plan(docs, 64)
+    drawn = {(r["shard"], r["sid"]): r["n"] for r in mixing.draws(docs, 64).collect()}
+    assert drawn == Counter((r["shard"], r["sid"]) for r in slots.collect()) and {s for s, _ in drawn} == set(range(8))
+    target = {r["sid"]: round(r["target"] / 64) for r in sized.collect()}
+    for sid, t in target.items():
+        counts = np.array([drawn.get((s, sid), 0) for s in range(8)])
+        assert abs(counts.sum() - t) <= 1 and ((counts - t / 8) ** 2 / (t / 8)).sum() < 24.3  # chi-square, 7 degrees of freedom, p = 0.001
+    words_of = Counter()
     for r in takes.collect():
-        words_of[r["shard"]] += r["hi"] - r["lo"]
-    n = sum(dealt.values())
-    assert sorted(dealt) == list(range(8)) and set(words_of) == set(dealt)
-    assert all(abs(dealt[s] - n / 8) < 5 * (n / 8) ** 0.5 and abs(words_of[s] - 64 * dealt[s]) <= 64 * 3 * 3 for s in dealt)
+        words_of[r["shard"], r["sid"]] += r["hi"] - r["lo"]
+    assert all(abs(words_of[k] - 64 * n) <= 64 * 3 for k, n in drawn.items())
+
+    mixing.write_shards(docs, f"{tmp_path}/out", 64)
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert Counter((r["shard"], r["sid"]) for r in out) == drawn and all(r["n_words"] == len(r["text"].split()) == 64 for r in out)
+    stream = {}  # a block's words stand in one document, or in two that follow each other
+    for r in out:
+        ids = [w.split("x")[0] for w in r["text"].split()]
+        assert sum(a != b for a, b in zip(ids, ids[1:], strict=False)) <= 1
+        stream.setdefault((r["sid"], r["text"]), []).append(r["j"])
+    whole = [r for r in sized.collect()]
+    for sid in target:
+        rounds = [len(j) for (s, _), j in stream.items() if s == sid]
+        assert max(rounds) - min(rounds) <= 1 or len(rounds) < sum(r["size"] for r in whole if r["sid"] == sid) // 64
+
+
+def test_targets_of_many_sources(spark):
+    """Numbers and targets don't depend on how sources are dealt out; compared with exact water filling."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(3)
+    names = [*(f"s{k:03d}" for k in range(199)), "Z", "é", "", None]
+    sizes = {s: int(x) for s, x in zip(names, rng.integers(0, 5, len(names)) * 10 ** rng.integers(0, 6, len(names)), strict=True)}
+    df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n long").repartition(9)
+    got = {r["source"]: (r["sid"], r["target"]) for r in mixing.targets(df).collect()}
+    order = sorted((s for s in names if s is not None), key=lambda s: s.encode()) + [None]
+    assert [got[s][0] for s in order] == list(range(1, len(order) + 1))
+    w, free, left, want = {s: k % 3 + 1 for k, s in enumerate(order)}, set(order), Fraction(sum(sizes.values())), {}
+    while over := [s for s in free if left * w[s] / sum(w[x] for x in free) > 3 * sizes[s]]:
+        total = sum(w[x] for x in free)
+        over = [s for s in over if left * w[s] / total > 3 * sizes[s]]
+        for s in over:
+            want[s] = 3 * sizes[s]
+        left, free = left - sum(want[s] for s in over), free - set(over)
+    want |= {s: left * w[s] / sum(w[x] for x in free) for s in free}
+    assert all(got[s][1] == pytest.approx(float(want[s]), rel=1e-12) for s in order)
+    assert mixing.targets(df.limit(0)).isEmpty()
 
 
 def test_permutation(spark):
@@ -261,7 +303,7 @@ def test_near_duplicates_are_compared_whatever_their_signatures():
 def test_superminhash_estimates_similarity():
     words = [f"v{k}" for k in range(3000)]
     texts = [" ".join(words[a : a + n]).encode() for a, n in ((0, 400), (100, 400), (0, 5), (1, 4), (0, 1), (50, 40))]
-    values, start = sets([*texts, b""], 1, False)
+    values, start, _ = sets([*texts, b""], 1, False)
     sig = signatures(values, start, 64)
     assert np.isinf(sig[-1]).all() and np.isfinite(sig[:-1]).all()
     jaccard = lambda a, b: len(np.intersect1d(values[start[a] : start[a + 1]], values[start[b] : start[b + 1]])) / len(np.union1d(values[start[a] : start[a + 1]], values[start[b] : start[b + 1]]))
@@ -384,6 +426,45 @@ def test_language(spark):
     assert [language.address(u) for u in ("https://x.co.uk/de/a", "//u@Host.Example.FR:80", None, "plain.es/x")] == [("x.co.uk", "x.co.uk", "de"), ("host.example.fr", "example.fr", "fr"), (None, None, None), ("plain.es", "plain.es", "es")]
 
 
+def test_fusion_by_brute_force(spark):
+    """Every row's language and probability, from counts taken one by one; tables don't share priors, not even of null hosts."""
+    rng = np.random.default_rng(4)
+    model = language.TextModel(("aa", "bb", "cc"), np.zeros((1, 3)))
+    hosts = [(None, None), ("x.a", "a"), ("y.a", "a"), ("z.b", "b"), ("z.b", None), (None, "b")]
+    rows = []
+    for k in range(300):
+        like = (rng.integers(-4, 5, 3) * 0.5).tolist() if k % 7 else [0.0, 0.0, 0.0]
+        host, domain = hosts[int(rng.integers(len(hosts)))]
+        rows.append((k if k % 50 else None, host, domain, like, "page" if rng.random() < 0.3 else "document"))
+    rows += [rows[5], rows[5], (999, "alone", "alone", [1.0, 1.0, 0.0], "page")]
+    df = spark.createDataFrame(rows, "id long, host string, domain string, loglik array<double>, of string")
+    best = lambda xs: max(range(3), key=lambda j: (xs[j], -j))
+    by_host, by_domain, by_table = (defaultdict(Counter) for _ in range(3))
+    for _, h, d, e, of in rows:
+        by_host[of, d, h][best(e)] += 1
+        by_domain[of, d][best(e)] += 1
+        by_table[of][best(e)] += 1
+    want = []
+    for i, h, d, e, of in rows:
+        top = [(by_table[of][j] + 1) / (sum(by_table[of].values()) + 3) for j in range(3)]
+        less = lambda c, own=best(e): [c[j] - (j == own) for j in range(3)]
+        up = [(c + language.DOMAIN_WEIGHT * t) / (sum(less(by_domain[of, d])) + language.DOMAIN_WEIGHT) for c, t in zip(less(by_domain[of, d]), top, strict=True)]
+        prior = [(c + language.HOST_WEIGHT * u) / (sum(less(by_host[of, d, h])) + language.HOST_WEIGHT) for c, u in zip(less(by_host[of, d, h]), up, strict=True)]
+        post = np.exp(np.array(e)) * prior
+        want.append((i, of, model.languages[int(post.argmax())], round(float(post.max() / post.sum()), 5)))
+    got = [(r["id"], r["of"], r["lang"], round(r["probability"], 5)) for r in language.identified(df, model).collect()]
+    close = lambda a, b: a[:3] == b[:3] and abs(a[3] - b[3]) < 2e-5
+    assert len(got) == len(want) and all(close(a, b) for a, b in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True))
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "CLIP", 50)
+    docs = spark.range(60).select(F.when(F.col("id") < 30, F.lit(7)).when(F.col("id") > 55, None).otherwise(F.col("id")).alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("word " * 100), F.col("id")).alias("text"), F.lit(1).alias("k"))
+    got = language.sample(docs.unionByName(docs), 40)
+    assert 0 < len(got) <= 40 and all(len(t) == 50 for _, t in got)
+    assert language.sample(docs.limit(0)) == [] and language.fit([]).languages == language.DEFAULT
+
+
 def test_a_rare_language_is_in_the_sample(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 57, "xx").when(F.col("id") % 4 == 0, "de").otherwise("en").alias("lang"), F.lit("some words").alias("text"))
     got = Counter(x for x, _ in language.sample(docs, 10))
@@ -437,3 +518,26 @@ def test_pages_of_the_tables():
         inside = re.search(r"(?s)<article>(.*?)(?:</article>|\Z)", page)[1]
         parts = (re.sub(r"\s+", " ", markup.entities.unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"<(?!/?b>)[^>]*>", inside))
         assert markup.main_text(page, markup.field()) == " ".join(p for p in parts if p)
+
+
+TAIL = "One two three four five six seven and so on for a while."
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<p>We know 1 < 2 is true and the rest matters a lot.<p", ["We know 1 < 2 is true and the rest matters a lot."]), ("<p>a <b and c <i", ["a <b and c"]), ("<p>x</p", ["x"]), ("<p>x<!-", ["x"]), ("<p>x <3 y</p>", ["x <3 y"]), ("<p>x<", ["x"]),
+    ("<ul><li>one<li>two</ul>three", ["one", "two", "three"]), ("<p>one<p>two<div>three</div>", ["one", "two", "three"]), ("<p title='a>b' class=c>x</p>y", ["x", "y"]), ("<p title=it's>x</p>y<i class='z'>w</i>", ["x", "yw"]), ("<a href='x>y <b>z</b>", ["y z"]),
+    ("<a href=/>Home</a> x", ["Home x"]), ("<p>&#0000065;&#99999999999999999999;&#" + "1" * 6000 + ";</p>", ["A��"]), ("<!-->a<!--b-->c<?d?>e<!f>g", ["aceg"]), ("<body><p>a<script>'</p>'", ["a"]), ("</p></div>x", ["x"]), ("<P>A</P ><SCRIPT>b</Script >c", ["A", "c"]),
+])
+def test_blocks_of_broken_markup(page, texts):
+    assert [t for t, _ in markup.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<a ='>'", '<a ="', "<script>", "<!--", "<html ", "<b>x<br>", "<div>", "<p><button><b><h1></h1>", "</p><div>", "&#1", "<li class='", "<", "< a", "<ul><li>"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    page = "<html><body><p>" + piece * (1_000_000 // len(piece)) + "</p>"
+    began = time.time()
+    markup.main_text(page, markup.field())
+    language.read(page)
+    assert time.time() - began < 12  # a second or two; quadratic scans take minutes
