@@ -25,13 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import batches
+from .base import lean
+from .hashing import batches, released, rowwise
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH = 2048
 GROUP = 4_000_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 # Fixed value: how byte-level BPE vocabularies of this kind part a text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PACKED = "ids binary, id_bytes int, n_tokens int, cu_seqlens array<int>, positions binary, doc_ids array<long>, pieces array<int>"
@@ -52,18 +53,17 @@ class Tokenizer:
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.dtype("<u2") if max(ranks.values()) < 65_535 else np.dtype("<u4")
         self.pad = max(ranks.values()) + 1
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> bytes:
         got = self.known.get(w)
         if got is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            got = self.known[w] = np.array(self.encoding.encode_ordinary(w), self.dtype)
+            got = self.known[w] = np.array(self.encoding.encode_ordinary(w), self.dtype).tobytes()
         return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        heads, tails, counts = [], [], []
         plain = [not _ODD.search(t) for t in texts]
         split = pc.split_pattern(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()), pattern=" ")
         offsets, flat = split.offsets.to_numpy(), split.values
@@ -74,20 +74,17 @@ class Tokenizer:
             offsets = np.cumsum([0, *map(len, lists)])
             flat = pa.array([w for x in lists for w in x], pa.large_string())
         coded = flat.dictionary_encode()
-        index, unique = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        first = np.zeros(len(index), bool)
-        first[offsets[:-1]] = True
+        index, unique = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         # words after the first carry the space before them
-        spaced = [self.word(" " + w) for w in unique]
-        heads = [self.word(unique[index[k]]) if unique[index[k]] else np.zeros(0, self.dtype) for k in offsets[:-1]]
-        sizes = np.array([len(x) for x in spaced], np.int64)
-        body = np.concatenate([np.zeros(0, self.dtype), *spaced])
-        at = np.cumsum(sizes) - sizes
-        counts = np.where(first, 0, sizes[index])
-        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids = body[np.repeat(at[index], counts) + within]
-        upto = np.concatenate([[0], np.cumsum(counts)])[offsets]
-        return [np.concatenate([h, ids[a:b]]) for h, a, b in zip(heads, upto[:-1], upto[1:], strict=True)]
+        known = [self.word(" " + w) for w in unique]
+        known += [self.word(unique[index[k]]) if unique[index[k]] else b"" for k in offsets[:-1]]
+        index[offsets[:-1]] = np.arange(len(unique), len(known))
+        sizes = np.array([len(x) for x in known], np.int64) // self.dtype.itemsize
+        at, counts = np.cumsum(sizes) - sizes, sizes[index]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.frombuffer(b"".join(known), self.dtype)[np.arange(upto[-1]) + np.repeat(at[index] - upto[:-1], counts)]
+        upto = upto[offsets]
+        return [ids[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode([int(i) for i in ids])
@@ -171,7 +168,7 @@ def _rows(path: str, length: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, docs, total = tokenizer(path), [], 0
         for batch in it:
-            texts = ((i, t or "") for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            texts = ((i, t or "") for i, t in rowwise(batch))
             for rows in batches(texts, lambda r: len(r[1])):
                 coded = tok.encode([t for _, t in rows])
                 docs += [(r[0], ids) for r, ids in zip(rows, coded, strict=True) if len(ids)]
@@ -181,6 +178,8 @@ def _rows(path: str, length: int):
                     docs, total = [], 0
         if docs:
             yield from sent(_packed(docs, length, tok.pad, tok.dtype))
+        docs.clear()
+        released()
 
     return run
 
@@ -189,7 +188,7 @@ def packed(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH) -> Dat
     """The packed table of ``docs`` (doc_id, text); see the module for its columns. ``path``: a vocabulary that every executor has. ``length`` is at most 65,535."""
     if not 1 <= length <= 65_535:
         raise ValueError("length must be 1 to 65,535")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_rows(path, length), PACKED)
+    return lean(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_rows(path, length), PACKED)
 
 
 def unpacked(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import batches
+from .base import lean
+from .hashing import batches, rowwise
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
@@ -353,8 +354,7 @@ def detected(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            every = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for rows in batches(every, lambda r: len(r[1] or "")):
+            for rows in batches(rowwise(batch), lambda r: len(r[1] or "")):
                 found = spans([r[1] or "" for r in rows], shared.value)
                 cols = {"doc_id": pa.array([r[0] for r in rows], pa.int64())}
                 for kind in KINDS:
@@ -365,7 +365,7 @@ def detected(docs: DataFrame, net: Network | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return lean(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

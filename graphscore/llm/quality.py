@@ -152,23 +152,25 @@ def posterior(v: Column, model: Model) -> Column:
     return F.lit(1.0) / (1 + F.exp(-score))
 
 
-def judged(docs: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
-    """``docs`` with a struct ``quality``: features, votes, posterior, base_failed and kept. Without ``model``, one is fitted on all rows first (a second pass over the texts)."""
+def _judged(docs: DataFrame, text: str, model: Model | None, name: str) -> DataFrame:
+    x = docs.withColumn(name, features(F.col(text)))
+    x = x.withColumn(name, F.struct(F.col(name).alias("features"), votes(F.col(name)).alias("votes")))
+    v, f = F.col(f"{name}.votes"), F.col(f"{name}.features")
     if model is None:
-        model = fit(docs.select(votes(features(F.col(text))).alias("votes")))
-    x = docs.drop("quality").withColumn("quality", features(F.col(text)))
-    f = F.col("quality")
-    x = x.withColumn("quality", F.struct(f.alias("features"), votes(f).alias("votes")))
-    f = F.col("quality.features")
-    p = posterior(F.col("quality.votes"), model)
-    return x.withColumn("quality", F.struct(f.alias("features"), F.col("quality.votes").alias("votes"), p.alias("posterior"), base_failed(f).alias("base_failed"), (~base_failed(f) & (p >= 0.5)).alias("kept")))
+        x = staged(x)  # features cost far more than a copy of the texts, so they are computed once for fit and verdict
+        model = fit(x.select(v.alias("votes")))
+    p = posterior(v, model)
+    return x.withColumn(name, F.struct(f.alias("features"), v.alias("votes"), p.alias("posterior"), base_failed(f).alias("base_failed"), (~base_failed(f) & (p >= 0.5)).alias("kept")))
+
+
+def judged(docs: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
+    """``docs`` with a struct ``quality``: features, votes, posterior, base_failed and kept. Without ``model``, one is fitted on all rows first."""
+    return _judged(docs.drop("quality"), text, model, "quality")
 
 
 def good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, all columns unchanged; the model is fitted on all rows first."""
-    f = F.col("__features")
-    model = fit(docs.select(features(F.col(text)).alias("__features")).select(votes(f).alias("votes")))
-    return docs.withColumn("__features", features(F.col(text))).where(~base_failed(f) & (posterior(votes(f), model) >= 0.5)).select(*docs.columns)
+    return _judged(docs, text, None, "__judged").where("__judged.kept").select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
