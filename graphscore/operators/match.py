@@ -1,7 +1,7 @@
 """Greedy one-to-one matching of symbols inside buckets of equal path and canonical name.
 
-Rows are shuffled by bucket and sorted so that a bucket's candidates come before the rows that claim them; a task reads
-its rows as a stream and holds the candidates of one bucket only. The order of claims is that of ``ord``, so results
+Rows are shuffled by tool and bucket (tools don't compete, so each has its own copy of the candidates) and sorted so that a bucket's
+candidates come before the rows that claim them; a task reads its rows as a stream and holds the candidates of one bucket only. The order of claims is that of ``ord``, so results
 don't depend on how rows are dealt out.
 """
 
@@ -39,19 +39,23 @@ def sent(rows: Iterator[tuple], kinds: list[tuple[str, pa.DataType]], size: int
     yield batch()
 
 
+def dealt(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows of equal keys in one partition, one after the other, in order. Keys are compared by a hash first: they share long beginnings. As many partitions as the session says, since what follows is Python, whose work sizes in bytes understate."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("__h", F.xxhash64(*keys)).repartition(tasks, "__h").sortWithinPartitions("__h", *keys, *order)
+
+
 def _claims(rows: Iterator[tuple]) -> Iterator[tuple]:
     """Rows (npath, cname, claimant, tool, ord, claim, kind, line, accessor) to (tool, ord, candidate's ord or None)."""
-    bucket, tool, candidates, free = None, None, [], []
-    for npath, cname, claimant, of, at, claim, kind, line, accessor in rows:
-        if bucket != (npath, cname):
-            bucket, tool, candidates = (npath, cname), None, []
+    bucket, free = None, []
+    for npath, cname, claimant, tool, at, claim, kind, line, accessor in rows:
+        if bucket != (tool, npath, cname):
+            bucket, free = (tool, npath, cname), []
         if not claimant:
-            candidates.append((at, claim, kind, line, accessor))
+            free.append((at, claim, kind, line, accessor))
             continue
-        if tool != of:
-            tool, free = of, list(candidates)
         if not free:
-            yield of, at, None
+            yield tool, at, None
             continue
         swap = accessor or any(c[4] for c in free)
 
@@ -61,18 +65,19 @@ def _claims(rows: Iterator[tuple]) -> Iterator[tuple]:
 
         best = min(free, key=rank)
         free = [c for c in free if c[1] != best[1]]
-        yield of, at, best[0]
+        yield tool, at, best[0]
 
 
 def _keyed(df: DataFrame, claimant: bool, tool: str | None, claim: str) -> DataFrame:
     name = F.col("name")
     return df.where(is_matchable(name)).select(
-        norm_path(F.coalesce("path", F.lit(""))).alias("npath"), canonical_name(name).alias("cname"), F.lit(claimant).alias("claimant"), (F.col(tool) if tool else F.lit(None).cast("string")).alias("tool"), "ord", F.col(claim).cast("string").alias("claim"), "kind", F.col("startLine").alias("line"), is_accessor(name).alias("accessor")
+        norm_path(F.coalesce("path", F.lit(""))).alias("npath"), canonical_name(name).alias("cname"), F.lit(claimant).alias("claimant"), *([F.col(tool).alias("tool")] if tool else []), "ord", F.col(claim).cast("string").alias("claim"), "kind", F.col("startLine").alias("line"), is_accessor(name).alias("accessor")
     )
 
 
 def _matched(candidates: DataFrame, claimants: DataFrame) -> DataFrame:
-    both = candidates.unionByName(claimants).repartition("npath", "cname").sortWithinPartitions("npath", "cname", "claimant", "tool", "ord")
+    each = candidates.crossJoin(F.broadcast(claimants.select("tool").distinct()))  # a handful of tools
+    both = dealt(claimants.unionByName(each), ["tool", "npath", "cname"], "claimant", "ord").select("npath", "cname", "claimant", "tool", "ord", "claim", "kind", "line", "accessor")
     return both.mapInArrow(lambda it: sent(_claims(streamed(it)), _OUT), "tool string, tool_ord long, oracle_ord long")
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import labels, names
 from ..functions.metrics import derived_scoreable
 from ..operators import adjudicate, climb, dedupe, ownership
 from ..sources import mdtable, nodelink
+from ..staging import staged
 from . import report
-from .score import Inputs, Score
+from .score import Score
 from .testgraph import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,25 +24,39 @@ def _table(name: str) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
     return lambda f: lambda spark, sf_dir: f(tables(spark, sf_dir, (name,))[name])
 
 
+class Derived:
+    """The relations of the derived graph (see score.Inputs), each staged on first use: a real graph would be read from files."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def _table(self, name: str) -> DataFrame:
+        return staged(tables(self.spark, self.sf_dir, (name,))[name])
+
+    nodes = functools.cached_property(lambda self: self._table("nodes"))
+    edges = functools.cached_property(lambda self: self._table("edges"))
+    oracle_symbols = functools.cached_property(lambda self: self._table("oracle_symbols"))
+    oracle_edges = functools.cached_property(lambda self: self._table("oracle_edges"))
+    capabilities = functools.cached_property(lambda self: tables(self.spark, self.sf_dir, ("capabilities",))["capabilities"])
+
+
 _last: dict[tuple[str, str], Score] = {}
 
 
 def score(spark: SparkSession, sf_dir: str) -> Score:
-    """The score of one graph. Queries on the same graph share its matches and verdicts, which are computed once; those of the last graph are let go."""
+    """The score of one graph. Queries on the same graph share its matches and verdicts, which are computed once; those of the last graph are forgotten."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _last:
-        for (app, _), old in _last.items():
-            if app == key[0]:
-                old.release()
         _last.clear()
-        t = tables(spark, sf_dir, ("nodes", "edges", "oracle_symbols", "oracle_edges", "capabilities"))
-        # the derived tables are inputs here: a real graph would be read from files
-        t = {name: df.persist(StorageLevel.MEMORY_AND_DISK) for name, df in t.items()}
-        _last[key] = Score(Inputs(t["nodes"], t["edges"], t["oracle_symbols"], t["oracle_edges"], t["capabilities"]), cached=True)
-        _last[key]._held.extend(t.values())
+        _last[key] = Score(Derived(spark, sf_dir), cached=True)
     return _last[key]
 
 
+def forget() -> None:
+    """Queries begin anew."""
+    _last.clear()
+
+
 def _scored(f: Callable[[Score], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(score(spark, sf_dir))
 

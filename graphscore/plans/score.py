@@ -1,19 +1,19 @@
-"""All metric tables of the engine over one set of inputs. Matches and verdicts are shared plans; ``cached`` computes them once."""
+"""All metric tables of the engine over one set of inputs. Matches and verdicts are shared plans; ``cached`` computes them once, as staged tables."""
 
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions.metrics import derived_scoreable, ratio, with_scores
 from ..functions.names import is_accessor, is_matchable
 from ..operators import adjudicate, agnostic, capability, coverage, dedupe, match
 from ..operators.adjudicate import ABSTAINED, EXCUSED, NAME, TARGET, WRONG
 from ..schemas import CONTAINERS, EDGE_TYPES, EXTENDED_TYPES, KINDS
+from ..staging import staged
 
 
 @dataclass
@@ -30,19 +30,11 @@ class Inputs:
 @dataclass
 class Score:
     inputs: Inputs
-    #: Keep shared plans in memory or on the executors' disks; lost blocks are computed again.
+    #: Write shared plans to the folder that all executors share, on first use.
     cached: bool = False
-    _held: list[DataFrame] = field(default_factory=list)
 
     def _shared(self, df: DataFrame) -> DataFrame:
-        if self.cached:
-            self._held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
-
-    def release(self) -> None:
-        for df in self._held:
-            df.unpersist()
-        self._held.clear()
+        return staged(df) if self.cached else df
 
     @property
     def spark(self) -> SparkSession:

@@ -138,7 +138,6 @@ def test_a_tool_made_from_the_ground_truth_is_perfect(spark, graph):
     counts = {(r["tool"], r["type"]): (r["tp"], r["fp"], r["fn"], r["targetConfirmed"]) for r in s.edges_by_type().collect()}
     assert all(fp == fn == 0 and tp == t for tp, fp, fn, t in counts.values())
     assert all(counts["one", t] == counts["two", t] for t in ("CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS"))
-    s.release()
 
 
 def test_coverage(spark):
