@@ -50,3 +50,11 @@ def owners(files: DataFrame, roots: DataFrame) -> DataFrame:
 def walked_twice(owned: DataFrame) -> DataFrame:
     """Files that more than one project claims; none, if ownership is exclusive."""
     return owned.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def exclusive(owned: DataFrame) -> DataFrame:
+    """``owned``, if no file is claimed by more than one project; else an error that names one."""
+    twice = walked_twice(owned).orderBy("path").first()
+    if twice:
+        raise ValueError(f"{twice['path']} belongs to {twice['n']} projects")
+    return owned

@@ -216,5 +216,28 @@ JOIN (SELECT tool, coalesce(avg({_F1}) FILTER (tp + fn > 0), 0.0) AS "macroF1" F
     "resolved_slice": _with(
         f"SELECT t.tool, t.type, coalesce(n, 0) AS resolvedTotal, coalesce(c, 0) AS resolvedConfirmed, coalesce(k, 0) AS resolvedTargetConfirmed FROM (SELECT tool, unnest({list(EDGE_TYPES)}) AS type FROM tools) t LEFT JOIN (SELECT tool, type, count(*) AS n FROM edges WHERE resolved GROUP BY ALL) e ON e.tool = t.tool AND e.type = t.type LEFT JOIN (SELECT v.tool, v.type, count(*) FILTER (verdict IN ('target', 'name')) AS c, count(*) FILTER (verdict = 'target') AS k FROM verdicts v JOIN edges e ON e.tool = v.tool AND e.ord = v.ord WHERE scope = 'main' AND resolved GROUP BY ALL) x ON x.tool = t.tool AND x.type = t.type", _BASE, _ALL, _EDGES,
     ),
+    "edge_false_negatives": _with("SELECT u.scope, t.tool, u.ord, u.nfrom, u.fromLocalId, u.type, u.targetName, CAST(sites AS BIGINT) AS \"siteCount\" FROM uniq u, tools t WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.scope = u.scope AND v.tool = t.tool AND v.oracle_ord = u.ord AND v.verdict IN ('target', 'name'))", _BASE, _ALL, _EDGES),
+    "kind_labelling_overall": _with(f"SELECT tool, total, correct, unlabelled, total - correct - unlabelled AS mislabelled, {_ratio('correct', 'total')} AS accuracy FROM (SELECT tool, count(*) AS total, count(*) FILTER (r) AS correct, count(*) FILTER (NOT r AND tkind = 'Unknown') AS unlabelled FROM (SELECT *, tkind = okind OR (tkind IN ('Method', 'Property') AND okind IN ('Method', 'Property') AND {_cn('oname')} <> oname) AS r FROM judged WHERE okind IS NOT NULL) GROUP BY ALL)", _BASE, _IDENTITY, _KINDCOUNTS),
+    "d1_summary": _with('SELECT tool, CAST(sum(tp) AS BIGINT) AS "totalTp", CAST(sum(fp) AS BIGINT) AS "totalFp", CAST(sum(fn) AS BIGINT) AS "totalFn" FROM counts WHERE scope = \'main\' GROUP BY tool', _BASE, _ALL, _EDGES, _COUNTS),
+    "nodes_by_kind_histogram": _with("SELECT tool, kind, count(*) AS nodes FROM nodes GROUP BY ALL"),
+    "jsonl_nodes": _with('SELECT \'own\' AS tool, row_number() OVER (ORDER BY ord) - 1 AS ord, id, name, path, kind, "startLine", CAST(NULL AS INT) AS "endLine", "parentId", CAST(NULL AS VARCHAR) AS "originalKind" FROM nodes WHERE tool = \'alpha\''),
+    "jsonl_edges": _with('SELECT \'own\' AS tool, row_number() OVER (ORDER BY ord) - 1 AS ord, "fromId", "toId", type, resolved, confidence, CAST(NULL AS VARCHAR) AS "edgeKind" FROM edges WHERE tool = \'gamma\''),
+    "jsonl_oracle_symbols": _with("SELECT * REPLACE (row_number() OVER (ORDER BY ord) - 1 AS ord) FROM oracle_symbols"),
+    "jsonl_oracle_edges": _with("SELECT * REPLACE (row_number() OVER (ORDER BY ord) - 1 AS ord) FROM oracle_edges"),
+    "node_link_nodes": _with("""SELECT 'own' AS tool, ord, id, CASE WHEN kind = 'File' THEN label ELSE regexp_replace(regexp_replace(label, '^\\.', ''), '\\(\\)$', '') END AS name, source_file AS path, kind, CAST(ord AS INT) AS "startLine", CAST(NULL AS INT) AS "endLine", CAST(NULL AS VARCHAR) AS "parentId", CAST(NULL AS VARCHAR) AS "originalKind"
+FROM (SELECT *, CASE WHEN label = regexp_extract(source_file, '[^/]*$') THEN 'File' WHEN label LIKE '%()' THEN CASE WHEN id IN (SELECT target FROM links WHERE relation = 'method') THEN 'Method' ELSE 'Function' END ELSE 'Unknown' END AS kind FROM link_nodes)"""),
+    "node_link_edges": _with(f"""SELECT 'own' AS tool, source AS "fromId", target AS "toId", {_map('relation', labels.LINK_EDGES, 'UNKNOWN')} AS type, ord % 3 = 0 AS resolved, CASE WHEN ord % 3 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence, relation AS "edgeKind" FROM links WHERE {_map('relation', labels.LINK_EDGES, 'UNKNOWN')} <> 'UNKNOWN'"""),
+    "tagged_record_nodes": _with(f"""SELECT 'own' AS tool, ord + 1 AS ord, id, name, 'src/x.ts' AS path, CASE WHEN node_type = 'FUNCTION' THEN CASE WHEN coalesce(class_name, '') = '' THEN 'Function' WHEN name = 'constructor' THEN 'Constructor' ELSE 'Method' END ELSE {_map('node_type', labels.RECORD_KINDS, 'Unknown')} END AS kind, CAST(ord % 100 + 1 AS INT) AS "startLine", CAST(ord % 100 + 4 AS INT) AS "endLine", p AS "parentId", node_type AS "originalKind"
+FROM (SELECT *, 'n' || CAST(ord AS VARCHAR) AS id FROM raw_labels) LEFT JOIN (SELECT target, max_by(source, {{'s': seen, 'o': ord}}) AS p FROM (SELECT *, min(ord) OVER (PARTITION BY source) AS seen FROM links WHERE relation = 'contains') GROUP BY target) ON target = id"""),
+    "tagged_record_edges": _with("""SELECT 'own' AS tool, source AS "fromId", target AS "toId", 'USES_TYPE' AS type, CAST(NULL AS BOOLEAN) AS resolved, CAST(NULL AS DOUBLE) AS confidence, 'REFERENCES' AS "edgeKind" FROM links WHERE relation = 'calls'"""),
+    "paged_table_nodes": _with(f"""SELECT 'own' AS tool, o AS ord, id, name, path, {_map('label', labels.GRAPH_KINDS, 'Unknown')} AS kind, CASE WHEN o % 9 <> 1 THEN "startLine" END AS "startLine", CAST(NULL AS INT) AS "endLine", CAST(NULL AS VARCHAR) AS "parentId", label AS "originalKind"
+FROM (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS o, CASE WHEN kind = 'GlobalVariable' THEN 'Const' ELSE kind END AS label FROM nodes WHERE tool = 'beta') WHERE o % 50 <> 7"""),
+    "paged_table_edges": _with(f"""SELECT 'own' AS tool, o AS ord, "fromId", "toId", {_map('type', labels.GRAPH_EDGES, 'UNKNOWN')} AS type, CASE WHEN o % 4 > 0 THEN confidence >= 0.5 END AS resolved, CASE WHEN o % 4 > 0 THEN confidence END AS confidence, type AS "edgeKind"
+FROM (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS o FROM edges WHERE tool = 'gamma') WHERE {_map('type', labels.GRAPH_EDGES, 'UNKNOWN')} <> 'UNKNOWN'"""),
+    "parse_results_flattened": _with("""SELECT "fromPath", CASE WHEN type = 'IMPORTS' THEN "fromPath" ELSE "fromLocalId" END AS "fromLocalId", type, "targetName" FROM oracle_edges WHERE type IN ('IMPORTS', 'EXTENDS', 'IMPLEMENTS', 'CALLS')"""),
+    "symbols_by_project": _with('SELECT kind AS project, ord, "localId" FROM oracle_symbols'),
+    "walked_twice": _with("SELECT DISTINCT path, CAST(2 AS BIGINT) AS n FROM files WHERE path LIKE 'pkg1%'"),
+    "source_files": _with(r"SELECT ord, path FROM files WHERE regexp_matches(path, '\.(ts|tsx|js|jsx|mts|cts|mjs|cjs)$')"),
+    "project_slugs": _with("SELECT dir AS \"rootPath\", coalesce(nullif(trim(regexp_replace(dir, '[^A-Za-z0-9]+', '_', 'g'), '_'), ''), 'root') AS slug FROM roots", _FILES),
     "cross_tool_coverage": _with(" UNION ALL ".join(f'SELECT *, "referenceResolved" - covers AS misses FROM {r}_result' for r in _REFERENCES), *map(_covered, _REFERENCES)),
 }

@@ -13,7 +13,7 @@ from ..functions.metrics import derived_scoreable
 from ..operators import adjudicate, climb, dedupe, ownership
 from ..sources import mdtable, nodelink
 from ..staging import staged
-from . import report
+from . import ingest, report
 from .score import Score
 from .testgraph import tables
 
@@ -116,5 +116,10 @@ QUERIES: dict[str, Query] = {
     "d1_matrix": _scored(lambda s: s.depth().drop("resolvedTotal", "resolvedConfirmed", "resolvedTargetConfirmed")),
     "resolved_slice": _scored(lambda s: s.depth().select("tool", "type", "resolvedTotal", "resolvedConfirmed", "resolvedTargetConfirmed")),
     "cross_tool_coverage": _scored(Score.coverage),
+    "edge_false_negatives": _scored(Score.false_negatives),
+    "kind_labelling_overall": _scored(Score.kind_labelling_overall),
+    "d1_summary": _scored(Score.depth_summary),
+    "nodes_by_kind_histogram": _scored(Score.kind_histogram),
     "scorecard_markdown": _markdown,
+    **ingest.QUERIES,
 }

@@ -25,6 +25,8 @@ class Inputs:
     oracle_symbols: DataFrame
     oracle_edges: DataFrame
     capabilities: DataFrame | None = None
+    #: Tools in the order of the report; by name unless given.
+    order: list[str] | None = None
 
 
 @dataclass
@@ -130,6 +132,15 @@ class Score:
         c = c.agg(F.count(F.lit(1)).alias("total"), F.count_if(right).alias("correct"), F.count_if(~right & (F.col("tkind") == "Unknown")).alias("unlabelled"))
         return c.withColumn("mislabelled", F.col("total") - F.col("correct") - F.col("unlabelled")).withColumn("accuracy", ratio(F.col("correct"), F.col("total")))
 
+    def kind_labelling_overall(self) -> DataFrame:
+        """The same for all kinds together."""
+        c = self.kind_labelling().groupBy("tool").agg(*(F.sum(k).alias(k) for k in ("total", "correct", "unlabelled", "mislabelled")))
+        return c.withColumn("accuracy", ratio(F.col("correct"), F.col("total")))
+
+    def kind_histogram(self) -> DataFrame:
+        """(tool, kind, nodes): all rows of the exports, files included."""
+        return self.inputs.nodes.groupBy("tool", "kind").agg(F.count(F.lit(1)).alias("nodes"))
+
     # -- edges
 
     def _edge_counts(self, scope: str, types: tuple[str, ...]) -> DataFrame:
@@ -156,6 +167,12 @@ class Score:
         c = self._edge_counts("main", EDGE_TYPES).groupBy("tool").agg(*(F.sum(k).alias(k) for k in ("tp", "fp", "fn", "targetConfirmed", "abstentions")))
         return with_scores(c).withColumn("targetAccuracy", ratio(F.col("targetConfirmed"), F.col("tp")))
 
+    def false_negatives(self) -> DataFrame:
+        """(scope, tool, ord, nfrom, fromLocalId, type, targetName, siteCount): for each tool the relationships of the ground truth that no edge of it confirms."""
+        claimed = self.verdicts.where(F.col("verdict").isin(TARGET, NAME)).select("scope", "tool", F.col("oracle_ord").alias("ord"))
+        truth = adjudicate.collapsed(self.oracle).select("scope", "ord", "nfrom", "fromLocalId", "type", "targetName", "siteCount")
+        return truth.crossJoin(F.broadcast(self.tools)).join(claimed, ["scope", "tool", "ord"], "left_anti")
+
     def extended(self) -> DataFrame:
         return self._edge_counts("extended", EXTENDED_TYPES)
 
@@ -187,6 +204,10 @@ class Score:
         out = self._edge_counts("main", EDGE_TYPES).join(claimed, ["tool", "type"], "left").join(r, ["tool", "type"], "left").na.fill(0)
         return out.select("tool", "type", "tp", "fp", "fn", "toolClaimed", F.col("tp").alias("oracleConfirmed"), F.col("recall").alias("oracleRecall"), F.col("precision").alias("toolPrecision"), "targetConfirmed", "siteCoverage", "unscoreableExcluded", "unscoreableMatched", "resolvedTotal", "resolvedConfirmed", "resolvedTargetConfirmed")
 
+    def depth_summary(self) -> DataFrame:
+        """By tool, the sums over all types."""
+        return self.depth().groupBy("tool").agg(*(F.sum(k).alias(v) for k, v in (("tp", "totalTp"), ("fp", "totalFp"), ("fn", "totalFn"))))
+
     def coverage(self) -> DataFrame:
         """For the tools that resolve edges, as references, and all others."""
         refs = sorted(r["tool"] for r in self.inputs.edges.where("resolved").select("tool").distinct().collect())

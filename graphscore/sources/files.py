@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Folders that hold no source of the project; endings of source files.
@@ -11,12 +11,17 @@ SOURCE = r"\.(ts|tsx|js|jsx|mts|cts|mjs|cjs)\z"
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(ord, path) of every file under ``root``, relative to it; contents are not read. ``ord`` follows the paths."""
+    """(ord, path) of every file under ``root``, relative to it; contents are not read. ``ord`` follows the top folders, then the paths."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     prefix = root.rstrip("/").split("://")[-1].lstrip("/")
     path = F.regexp_replace(F.col("path"), rf"^(?:[a-z]+:)?/*\Q{prefix}\E/", "")
     kept = found.select(path.alias("path")).where(~F.col("path").rlike(SKIPPED))
-    return kept.sort("path").rdd.map(lambda r: r[0]).zipWithIndex().toDF("path string, ord long").select("ord", "path")
+    # numbered inside the folders, which follow each other in the order of their names
+    folder = F.regexp_extract("path", r"^(?:[^/]*/)?", 0)
+    counts = kept.groupBy(folder.alias("top")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("top").orderBy("path")) - 1
+    return kept.withColumn("top", folder).withColumn("own", own).join(counts.select("top", before.alias("before")), "top").select((F.col("own") + F.col("before")).alias("ord"), "path")
 
 
 def is_source(path):

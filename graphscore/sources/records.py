@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import record_edge_type, record_kind
 from ..operators.climb import parents
+from .lines import numbered
 
 #: Without the nodes' text: what the schema doesn't name is never parsed.
 SCHEMA = "kind STRING, id STRING, name STRING, node_type STRING, file STRING, line INT, end_line INT, class_name STRING, source_id STRING, target_id STRING, relationship_type STRING, node_count BIGINT, edge_count BIGINT, error STRING"
@@ -14,8 +15,7 @@ SCHEMA = "kind STRING, id STRING, name STRING, node_type STRING, file STRING, li
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All records in order (ord)."""
-    lines = spark.read.text(path).rdd.map(lambda r: r[0]).filter(lambda x: bool(x.strip())).zipWithIndex().toDF("value string, ord long")
-    return lines.select("ord", F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("x")).select("ord", "x.*")
+    return numbered(spark, path).select("ord", F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("x")).select("ord", "x.*")
 
 
 def checked(records: DataFrame, counts: bool = False) -> DataFrame:

@@ -118,7 +118,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["node_match", "edge_verdicts", "d2_edges", "method_overrides_agnostic", "climb_to_class", "file_ownership", "markdown_table_scan"])
+@pytest.mark.parametrize("name", ["node_match", "edge_verdicts", "d2_edges", "method_overrides_agnostic", "climb_to_class", "file_ownership", "markdown_table_scan", "edge_false_negatives", "node_link_nodes", "tagged_record_nodes", "paged_table_nodes", "symbols_by_project"])
 def test_queries_agree_with_sql(spark, name):
     import duckdb
 
