@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import shared_dir, staged
+
+__all__ = ["ascii_lower", "checked", "lean", "let", "shared_dir", "staged", "words"]
+
 #: Regular expression of the six ASCII white-space characters, the only ones that part words.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, one of our own in local mode, as in tests; on a cluster, an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-    if not re.fullmatch(r"local(\[.*\])?", master):
-        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="corpus-")
-    return _own[app]
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows and bytes of the Arrow batches in which texts go to Python workers.
 ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
