@@ -5,9 +5,9 @@
    classes count.
 2. Classes that share a band are candidates. First each is linked to the smallest class of its band (a star, so a
    group of k costs k pairs) and the links are verified on full sets. Classes that these links leave in different
-   components although they share a band are then compared with each other, block by block, on full sets (signatures only
-   tell which first), and only links leave the task. So no pair of one band is skipped unless it is in one
-   component already, and no pairs are ever listed.
+   components although they share a band are then compared with each other, block by block, on full sets: an index of one block's shingles counts
+   what each member of the other shares with all of its members at once. Only links leave the task. So no pair of one band is skipped unless it is in
+   one component already, and no pairs are ever listed.
 3. Components of the verified links.
 
 With ROWS = 3 and BANDS = 20 two sets of similarity 0.8 share no band with a probability of 6e-7.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import checked, lean, staged
@@ -36,8 +36,10 @@ BANDS, ROWS = 20, 3
 BLOCK_BYTES = 8_000_000
 #: Bytes of texts whose shingles a task takes at a time.
 TEXT_BYTES = 1_000_000
-#: Pairs looked at together.
-PAIRS = 500_000
+#: Pairs looked at together; how many of them are compared one by one rather than counted together.
+PAIRS, ONE_BY_ONE = 500_000, 64
+#: A value that one set in OFTEN holds is counted by matrices, COLUMNS values at a time.
+OFTEN, COLUMNS = 16, 1024
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
@@ -59,7 +61,7 @@ def _signed(size: int, lower: bool):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array([i for i, _ in rows], pa.int64()), "n": pa.array(n.astype(np.int64)), "s1": pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)), "s2": pa.array((more[at[1:]] - more[at[:-1]]).view(np.int64)),
-                        "bands": pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), "sig": pa.array([x.tobytes() for x in (small >> U(56)).astype(np.uint8)], pa.binary()),
+                        "bands": pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())),
                     }
                 )
         released()
@@ -96,6 +98,45 @@ def _verified(percent: int):
     return run
 
 
+class _Index:
+    """Which of some sets hold each value."""
+
+    def __init__(self, sets_: list[np.ndarray]):
+        self.n, values = len(sets_), np.concatenate([np.zeros(0, U), *sets_])
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], np.repeat(np.arange(self.n), [len(x) for x in sets_])[order]
+
+    def _expanded(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Owners of the ranges at .. at + n - 1, one after the other."""
+        return self.owner[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def common(self, sets_: list[np.ndarray]) -> np.ndarray:
+        """How many values each of ``sets_`` (by row) shares with each of the index's (by column)."""
+        flat, row = np.concatenate([np.zeros(0, U), *sets_]), np.repeat(np.arange(len(sets_)), [len(x) for x in sets_])
+        at = np.searchsorted(self.values, flat)
+        n = np.searchsorted(self.values, flat, "right") - at
+        out = np.zeros((len(sets_), self.n), np.float32)
+        # values that many sets hold: products of matrices of 0 and 1, some values at a time
+        often = np.flatnonzero(n * OFTEN > self.n)
+        places, column = np.unique(at[often], return_inverse=True)
+        held = np.searchsorted(self.values, self.values[places], "right") - places
+        for a in range(0, len(places), COLUMNS):
+            own = (column >= a) & (column < a + COLUMNS)
+            k = held[a : a + COLUMNS]
+            left, right = np.zeros((len(sets_), len(k)), np.float32), np.zeros((len(k), self.n), np.float32)
+            left[row[often[own]], column[own] - a] = 1
+            right[np.repeat(np.arange(len(k)), k), self._expanded(places[a : a + COLUMNS], k)] = 1
+            out += left @ right
+        # the others: one by one
+        few = np.flatnonzero((n > 0) & (n * OFTEN <= self.n))
+        upto = np.cumsum(n[few])
+        for a in range(0, int(upto[-1]) if len(few) else 0, PAIRS):
+            some = few[(upto > a) & (upto <= a + PAIRS)]
+            cells = np.repeat(row[some], n[some]) * self.n + self._expanded(at[some], n[some])
+            out += np.bincount(cells, minlength=out.size).reshape(out.shape)
+        return out
+
+
 def _linked(percent: int):
     """Of two blocks of one band's members (with full sets), the links between different components. Pairs that also share an earlier band are left to it; a pair whose link would join nothing new is skipped."""
 
@@ -103,28 +144,36 @@ def _linked(percent: int):
         for batch in it:
             u, v = [], []
             for band, xs, ys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sx, sy = (np.frombuffer(b"".join(r["sig"] for r in z), np.uint8).reshape(len(z), -1) for z in (xs, ys))
                 bx, by = (np.array([r["before"] for r in z], np.int64).reshape(len(z), band) for z in (xs, ys))
                 (rx, cx, nx), (ry, cy, ny) = ([np.array([r[k] for r in z]) for k in ("rep", "component", "n")] for z in (xs, ys))
-                sets_ = [[np.frombuffer(r["members"], U) for r in z] for z in (xs, ys)]
+                left, right = ([np.frombuffer(r["members"], U) for r in z] for z in (xs, ys))
+                index = None
                 parent: dict[int, int] = {}
 
                 def find(x: int, parent=parent) -> int:
                     while parent.setdefault(x, x) != x:
-                        x = parent[x]
+                        parent[x] = x = parent[parent[x]]
                     return x
 
+                def roots(xs: np.ndarray, find=find) -> np.ndarray:
+                    some, at = np.unique(xs, return_inverse=True)
+                    return np.array([find(x) for x in some.tolist()], np.int64)[at]
+
                 for at in range(0, len(xs), step := max(1, PAIRS // max(1, len(ys)))):
                     part = slice(at, at + step)
-                    ok = (cx[part, None] != cy[None, :]) & (100 * np.minimum(nx[part, None], ny[None, :]) >= percent * np.maximum(nx[part, None], ny[None, :]))
+                    ok = (roots(cx[part])[:, None] != roots(cy)[None, :]) & (100 * np.minimum(nx[part, None], ny[None, :]) >= percent * np.maximum(nx[part, None], ny[None, :]))
                     for k in range(band):
                         ok &= bx[part, k, None] != by[None, :, k]
                     i, j = np.nonzero(ok)
-                    # the likeliest first, as each link spares others; no pair is dropped for its signatures
-                    order = np.argsort(-(sx[part][i] == sy[j]).sum(1), kind="stable")
-                    for a, b in zip((i[order] + at).tolist(), j[order].tolist(), strict=True):
+                    if len(i) <= ONE_BY_ONE:
+                        hit = np.array([similar(left[a + at], right[b], percent) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    else:
+                        index = index or _Index(right)
+                        both = index.common(left[part])[i, j].astype(np.int64)
+                        hit = 100 * both >= percent * (nx[part][i] + ny[j] - both)
+                    for a, b in zip((i[hit] + at).tolist(), j[hit].tolist(), strict=True):
                         p, q = find(int(cx[a])), find(int(cy[b]))
-                        if p != q and similar(sets_[0][a], sets_[1][b], percent):
+                        if p != q:
                             parent[p] = q
                             u.append(max(rx[a], ry[b]))
                             v.append(min(rx[a], ry[b]))
@@ -137,15 +186,16 @@ def _linked(percent: int):
 def groups(docs: DataFrame, size: int = 4, percent: int = 80, lower: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text; other columns are ignored)."""
     texts = lean(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    signed = staged(texts.mapInArrow(_signed(size, lower), "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"))
+    signed = staged(texts.mapInArrow(_signed(size, lower), "doc_id long, n long, s1 long, s2 long, bands array<long>"))
     live = signed.where("n > 0 and doc_id is not null")
-    classes = staged(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = staged(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     members = staged(live.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep"))
 
-    key = Window.partitionBy("band").orderBy("rep")
     banded = classes.select("rep", F.posexplode("bands").alias("k", "b")).select("rep", "k", F.xxhash64("b", "k").alias("band"))
-    star = staged(banded.select(F.col("rep").alias("u"), F.first("rep").over(key).alias("v"), "band", "k").where("u <> v"))
-    pairs = staged(star.select("u", "v").distinct())
+    # the smallest of each band by a minimum and a join, which Spark may split where a band is very large
+    least = banded.groupBy("band").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "v")
+    star = staged(banded.join(least, "band").where("rep <> v").select(F.col("rep").alias("u"), "v", "band", "k"))
+    pairs = checked(staged(star.select("u", "v").distinct()), 16)
     involved = checked(staged(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")), 16)
     full = staged(texts.join(involved, "doc_id", "left_semi").mapInArrow(_sets(size, lower), "rep long, members binary").join(_sizes(classes, "rep"), "rep").where(F.length("members") == 8 * F.col("n")).drop("n").dropDuplicates(["rep"]))
 
@@ -174,12 +224,15 @@ def _sizes(classes: DataFrame, name: str) -> DataFrame:
 def _across(star: DataFrame, classes: DataFrame, full: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between classes that share a band but no component."""
     rows = star.select("band", "k", F.col("u").alias("rep")).union(star.select("band", "k", F.col("v").alias("rep")).distinct())
-    rows = rows.join(classes.select("rep", "n", "sig", "bands"), "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.sum(8 * (F.col("n") + BANDS)) / BLOCK_BYTES).cast("int").alias("blocks")).where("x <> y").select("band", "blocks")
+    rows = rows.join(classes.select("rep", "n", "bands"), "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    blocks = F.ceil(F.sum(8 * (F.col("n") + BANDS)) / BLOCK_BYTES).cast("int").alias("blocks")
+    split = rows.groupBy("band", "k").agg(F.min("component").alias("x"), F.max("component").alias("y"), blocks, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("t")).where("x <> y")
+    # a band whose members are all those of an earlier one has no pair of its own
+    split = split.groupBy("n", "s", "t").agg(F.min(F.struct("k", "band", "blocks")).alias("first")).select("first.band", "first.blocks")
     rows = rows.join(split, "band").join(full, "rep")
     # a member meets all blocks of its band: it goes to each pair of blocks that its own takes part in
     own, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.select("band", "k", F.struct("rep", "component", "n", "sig", F.slice("bands", F.lit(1), F.col("k")).alias("before"), "members").alias("m"), own.alias("own"), F.explode(every).alias("other"))
+    rows = rows.select("band", "k", F.struct("rep", "component", "n", F.slice("bands", F.lit(1), F.col("k")).alias("before"), "members").alias("m"), own.alias("own"), F.explode(every).alias("other"))
     sided = rows.select("band", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "m")
     both = sided.groupBy("band", "k", "i", "j").agg(F.collect_list(F.when(F.col("own") == F.col("i"), F.col("m"))).alias("x"), F.collect_list(F.when(F.col("own") == F.col("j"), F.col("m"))).alias("y"))
     return both.select("k", "x", "y").mapInArrow(_linked(percent), "u long, v long")

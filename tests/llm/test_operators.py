@@ -282,22 +282,49 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert neardup.groups(empty).isEmpty()
 
 
-def test_near_duplicates_are_compared_whatever_their_signatures():
+def linked(xs, ys, band):
+    kind = pa.list_(pa.struct([("rep", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("before", pa.list_(pa.int64())), ("members", pa.binary())]))
+    row = lambda rep, component, before, values: {"rep": rep, "component": component, "n": len(values), "before": before, "members": values.tobytes()}
+    batch = pa.RecordBatch.from_arrays([pa.array([band], pa.int32()), pa.array([[row(*x) for x in xs]], kind), pa.array([[row(*y) for y in ys]], kind)], ["k", "x", "y"])
+    return [tuple(r.values()) for out in neardup._linked(80)(iter([batch])) for r in out.to_pylist()]
+
+
+def test_near_duplicates_share_an_earlier_band_or_are_compared():
     """Only an earlier band that two members really share excuses their pair, and only full sets refuse it."""
-    whole, size = np.arange(100, dtype=np.uint64), neardup.BANDS * neardup.ROWS
-    sig = bytes(range(size))
-    far = sig[: neardup.ROWS] + bytes(255 - x for x in sig[neardup.ROWS :])
-    member = lambda rep, sig, before, values: {"rep": rep, "component": rep, "n": len(values), "sig": sig, "before": before, "members": values.tobytes()}
-
-    def links(x, y):
-        kind = pa.list_(pa.struct([("rep", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("before", pa.list_(pa.int64())), ("members", pa.binary())]))
-        batch = pa.RecordBatch.from_arrays([pa.array([len(x["before"])], pa.int32()), pa.array([[x]], kind), pa.array([[y]], kind)], ["k", "x", "y"])
-        return [tuple(r.values()) for out in neardup._linked(80)(iter([batch])) for r in out.to_pylist()]
-
-    assert links(member(1, sig, [7], whole), member(2, sig, [8], whole[:90])) == [(2, 1)]  # the bytes of band 0 collide, its hashes differ
-    assert links(member(1, sig, [7], whole), member(2, sig, [7], whole[:90])) == []  # left to band 0
-    assert links(member(1, sig, [], whole), member(2, far, [], whole[:90])) == [(2, 1)]  # few registers agree
-    assert links(member(1, sig, [], whole), member(2, sig, [], whole + np.uint64(20))) == []
+    whole = np.arange(100, dtype=np.uint64)
+    assert linked([(1, 1, [7], whole)], [(2, 2, [8], whole[:90])], 1) == [(2, 1)]
+    assert linked([(1, 1, [7], whole)], [(2, 2, [7], whole[:90])], 1) == []  # left to band 0
+    assert linked([(1, 1, [], whole)], [(2, 1, [], whole[:90])], 0) == []  # one component already
+    assert linked([(1, 1, [], whole)], [(2, 2, [], whole + np.uint64(20))], 0) == []
+
+
+def test_blocks_of_near_duplicates_against_every_pair(monkeypatch):
+    """Sets that share much or little with many or few others: links join what plain comparisons join, whichever way they are counted."""
+    rng = np.random.default_rng(6)
+    pool, base = np.sort(rng.integers(0, 2**63, 4000).astype(np.uint64)), []
+    for k in range(150):
+        size = int(rng.integers(1, 120))
+        mine = pool[:60] if k % 3 else pool[rng.integers(0, 4000, 3)]
+        base.append(np.unique(np.concatenate([mine, rng.choice(pool, size)])))
+        if k % 5 == 0:
+            base.append(np.unique(np.concatenate([base[-1][int(len(base[-1]) * 0.08) :], rng.choice(pool, 1)])))
+    members = [(k, k, [], x) for k, x in enumerate(base)]
+    whole = {(b, a) for a in range(len(base)) for b in range(a + 1, len(base)) if neardup.similar(base[a], base[b], 80)}
+
+    def parts(links):
+        root = list(range(len(base)))
+        for a, b in links:
+            root = [root[a] if r == root[b] else r for r in root]
+        return {frozenset(k for k, r in enumerate(root) if r == x) for x in root}
+
+    counts = neardup._Index(base).common(base[:40])
+    assert all(counts[a, b] == len(np.intersect1d(base[a], base[b])) for a in range(40) for b in range(len(base)))
+    for one, pairs, often in ((0, 500_000, 16), (10**9, 500_000, 16), (0, 1000, 16), (0, 500_000, 10**9), (0, 500_000, 1)):
+        monkeypatch.setattr(neardup, "ONE_BY_ONE", one)
+        monkeypatch.setattr(neardup, "PAIRS", pairs)
+        monkeypatch.setattr(neardup, "OFTEN", often)
+        got = linked(members, members, 0)
+        assert set(got) <= whole and parts(got) == parts(whole) and len(whole) > 20
 
 
 def test_superminhash_estimates_similarity():
