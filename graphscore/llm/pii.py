@@ -110,12 +110,13 @@ def classes(text: str) -> np.ndarray:
     return out
 
 
-def snippets(n: int = 900, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def snippets(n: int = 1300, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Labelled windows (classes and labels): prose with personal data in many shapes, and numbers that are none."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice(["ra", "ne", "tion", "the", "ol", "mi", "ber", "que", "st", "en", "al", "é", "ung"]) for _ in range(rng.randint(1, 4)))
-    name = lambda: rng.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}.{digits(2)}"])
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    name = lambda: letters() if rng.random() < 0.4 else rng.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}.{digits(2)}"])
 
     def card() -> str:
         body = digits(15)
@@ -127,7 +128,17 @@ def snippets(n: int = 900, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         a, b, c = digits(3), digits(3), digits(4)
         return rng.choice([f"+{digits(1)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(2)} {a} {b} {c}", f"0{digits(3)}/{digits(7)}", f"0{a} {b} {c}"])
 
-    make = {"email": lambda: f"{name()}@{word()}.{rng.choice(['com', 'org', 'net', 'de', 'co.uk', 'example'])}", "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": card, "phone": phone}
+    def email() -> str:
+        local, domain = name(), f"{rng.choice([word, letters])()}.{rng.choice(['com', 'org', 'net', 'de', 'co.uk', 'example'])}"
+        if rng.random() < 0.6:  # letters beyond ASCII, which the patterns don't know
+            at = rng.randint(0, len(local))
+            local = local[:at] + rng.choice("éüñøß") + local[at:]
+        if rng.random() < 0.4:
+            at = rng.randint(0, domain.index("."))
+            domain = domain[:at] + rng.choice("éüñøß") + domain[at:]
+        return f"{local}@{domain}"
+
+    make = {"email": email, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": card, "phone": phone}
     none = [lambda: digits(4), lambda: f"{digits(1)}.{digits(1)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"${digits(3)}.{digits(2)}", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(16, 40))), lambda: digits(rng.randint(1, 12)), lambda: f"{digits(2)}:{digits(2)}", lambda: f"@{word()}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: f"{word()}@{word()}"]
     xs, ys = np.zeros((n, WINDOW), int), np.zeros((n, WINDOW), int)
     for i in range(n):
@@ -293,7 +304,7 @@ def network_spans(texts: list[str], net: Network, size: int = 512) -> list[list[
     parts = [regions(t) for t in texts]
     for k, rs in enumerate(parts):
         jobs += [(k, at, b) for a, b in rs for at in (range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE))]
-    labels: dict[int, dict[int, tuple[int, int]]] = {}
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by text: how central the window was that labels a character, and its label
     coded = {k: classes(texts[k]) for k, rs in enumerate(parts) if rs}
     for j in range(0, len(jobs), size):
         some = jobs[j : j + size]
@@ -301,21 +312,22 @@ def network_spans(texts: list[str], net: Network, size: int = 512) -> list[list[
         for i, (k, at, b) in enumerate(some):
             piece = coded[k][at : min(b, at + WINDOW)]
             x[i, : len(piece)] = piece
-        for (k, at, b), ys in zip(some, net.decode(x).tolist(), strict=True):
-            own, n = labels.setdefault(k, {}), min(b, at + WINDOW) - at
-            for i in range(n):
-                # an outer edge of the region is no edge: nothing beyond it can be part of a span
-                depth = min(i if at else WINDOW, n - 1 - i if at + n < b else WINDOW)
-                if at + i not in own or depth > own[at + i][0]:
-                    own[at + i] = (depth, ys[i])
+        for (k, at, b), ys in zip(some, net.decode(x), strict=True):
+            if k not in held:
+                held[k] = np.full(len(coded[k]), -1, np.int16), np.zeros(len(coded[k]), np.int8)
+            n = min(b, at + WINDOW) - at
+            # an outer edge of the region is no edge: nothing beyond it can be part of a span
+            far = np.full(n, WINDOW)
+            now = np.minimum(np.arange(n) if at else far, np.arange(n)[::-1] if at + n < b else far)
+            depth, label = held[k][0][at : at + n], held[k][1][at : at + n]
+            better = now > depth
+            depth[better], label[better] = now[better], ys[:n][better]
     out: list[list[Span]] = [[] for _ in texts]
-    for k, own in labels.items():
-        start = kind = None
-        end = None
-        for at in [*sorted(own), None]:
-            y = own[at][1] if at is not None else 0
-            goes_on = kind is not None and at == end and y == 2 + 2 * kind
-            if goes_on:
+    for k, (_, label) in sorted(held.items()):
+        start = kind = end = None
+        where = np.flatnonzero(label)
+        for at, y in [*zip(where.tolist(), label[where].tolist(), strict=True), (None, 0)]:
+            if kind is not None and at == end and y == 2 + 2 * kind:
                 end = at + 1
                 continue
             if kind is not None:
