@@ -1,6 +1,11 @@
 """From raw documents to packed token rows: quality, near duplicates, decontamination, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents, whatever others there are.
+
+Defined results: null, empty and blank texts are rejected by the quality stage; where a later stage meets them, near duplicates and
+decontamination leave them as they are, the mix takes nothing of them and they have no tokens. Rows with a null doc_id are judged by their own texts, are never
+near duplicates and are packed under null. Rows that repeat a doc_id are kept or dropped by their own texts, but are one document
+for near duplicates; of equal texts the smallest doc_id stays. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -49,7 +54,7 @@ STAGES = [
 ]
 
 #: SQL can express neither the fitted vote model nor the hashes that the mix draws by: tests/llm/test_pipeline.py checks the rows of each stage
-#: by brute force, but the votes only against the operator, and which words the mix draws only by its bounds.
+#: by brute force (which words the mix draws only by its bounds), tests/llm/test_stages.py the votes and awkward rows.
 ORACLE_SQL = None
 
 
