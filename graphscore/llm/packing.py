@@ -21,7 +21,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +30,18 @@ from .hashing import batches, released, rowwise
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH = 2048
 GROUP = 4_000_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 50_000
+#: Characters of a text that are encoded at a time, or little more.
+PART = 200_000
 # Fixed value: how byte-level BPE vocabularies of this kind part a text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PACKED = "ids binary, id_bytes int, n_tokens int, cu_seqlens array<int>, positions binary, doc_ids array<long>, pieces array<int>"
 
-_ODD = re.compile(r"\s\s|\A\s|\s\Z")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict[str, Tokenizer] = {}
 
 
 class Tokenizer:
-    """Byte-level BPE. A single space between two other characters always parts tokens, so texts are encoded word by word and words are remembered."""
+    """Byte-level BPE. A single space between two other characters always parts tokens, so long texts are encoded part by part."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -53,38 +51,18 @@ class Tokenizer:
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.dtype("<u2") if max(ranks.values()) < 65_535 else np.dtype("<u4")
         self.pad = max(ranks.values()) + 1
-        self.known: dict[str, bytes] = {}
 
-    def word(self, w: str) -> bytes:
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            got = self.known[w] = np.array(self.encoding.encode_ordinary(w), self.dtype).tobytes()
-        return got
+    def ids(self, text: str) -> np.ndarray:
+        parts, at = [], 0
+        while at < len(text):
+            gap = _GAP.search(text, at + PART) if len(text) - at > PART else None
+            end = gap.start() if gap else len(text)
+            parts.append(np.array(self.encoding.encode_ordinary(text[at:end]), self.dtype))
+            at = end
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, self.dtype), *parts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not _ODD.search(t) for t in texts]
-        split = pc.split_pattern(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()), pattern=" ")
-        offsets, flat = split.offsets.to_numpy(), split.values
-        if not all(plain):
-            parts, lists = flat.to_pylist(), []
-            for k, t in enumerate(texts):
-                lists.append(parts[offsets[k] : offsets[k + 1]] if plain[k] else _GAP.split(t))
-            offsets = np.cumsum([0, *map(len, lists)])
-            flat = pa.array([w for x in lists for w in x], pa.large_string())
-        coded = flat.dictionary_encode()
-        index, unique = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        # words after the first carry the space before them
-        known = [self.word(" " + w) for w in unique]
-        known += [self.word(unique[index[k]]) if unique[index[k]] else b"" for k in offsets[:-1]]
-        index[offsets[:-1]] = np.arange(len(unique), len(known))
-        sizes = np.array([len(x) for x in known], np.int64) // self.dtype.itemsize
-        at, counts = np.cumsum(sizes) - sizes, sizes[index]
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        ids = np.frombuffer(b"".join(known), self.dtype)[np.arange(upto[-1]) + np.repeat(at[index] - upto[:-1], counts)]
-        upto = upto[offsets]
-        return [ids[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+        return [self.ids(t) for t in texts]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode([int(i) for i in ids])

@@ -417,9 +417,19 @@ def test_packing(spark, docs, rows, empty):
 
 
 @pytest.mark.parametrize("text", [" a  b\n c\t\n", "", "  ", "one  two three\n\n\n four ", "don't we'll  x's 12 34", "　wide 　 x", " y", "z ", "<|endoftext|> a"])
-def test_words_are_encoded_as_the_text_is(text):
+def test_parts_are_encoded_as_the_text_is(text, monkeypatch):
     tok = packing.tokenizer()
-    assert tok.encode([text, "x"])[0].tolist() == tok.encoding.encode_ordinary(text)
+    monkeypatch.setattr(packing, "PART", 5)
+    long = " some more words".join([text] * 7)
+    assert [x.tolist() for x in tok.encode([text, long, "x"])] == [tok.encoding.encode_ordinary(t) for t in (text, long, "x")]
+
+
+@pytest.mark.parametrize("piece", ["a", " ", "\n", "ab ", "1", "é", "!?"])
+def test_very_long_texts_are_encoded_in_linear_time(piece):
+    import time
+
+    tok, text, began = packing.tokenizer(), piece * (500_000 // len(piece)), time.time()
+    assert tok.decode(tok.encode([text])[0]) == text and time.time() - began < 20
 
 
 def test_best_fit():
