@@ -4,8 +4,9 @@ First rule that applies: an unresolved self-loop is an abstention; an endpoint t
 bound to no symbol is wrong (files and imports stand for themselves). Then, among the relationships of that source and type
 in order: the first unclaimed one with that target, by identity or within BAND lines of it in its file; else the first
 unclaimed one with the target's name. Else the edge is excused if the ground truth has such a row that can't be scored, and wrong
-if not. Like matching, this runs as a sorted stream by tool, source and type (tools don't compete, so each has its own copy of the
-ground truth's rows); targets are looked up by hash, so a source with very many relationships costs no more for each edge than one with few.
+if not. Like matching, this runs as a sorted stream by source and type; targets are looked up by hash, so a source with very many
+relationships costs no more for each edge than one with few. Tools don't compete, so a source of more than HOT edges is dealt out by tool, each with its
+own copy of the ground truth's rows.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 from ..functions.metrics import is_scoreable
 from ..functions.names import norm_path
 from ..schemas import BAND, EDGE_TYPES, EXTENDED_TYPES, MEMBER_KINDS
+from ..staging import staged
 from . import dedupe
 from .match import dealt, sent, streamed
 
+#: Edges of one source and type from which on they are dealt out by tool.
+HOT = 100_000
 ABSTAINED, WRONG, TARGET, NAME, EXCUSED = "abstained", "fp", "target", "name", "unscoreable"
 _OUT = [("scope", pa.string()), ("tool", pa.string()), ("ord", pa.int64()), ("type", pa.string()), ("verdict", pa.string()), ("oracle_ord", pa.int64())]
 
@@ -60,7 +64,7 @@ def scope_of_oracle(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 class _Source:
-    """Relationships of one source and type, and what a tool has claimed of them."""
+    """Relationships of one source and type, and what one tool at a time has claimed of them."""
 
     def __init__(self):
         self.by_id, self.by_line, self.by_name = defaultdict(list), defaultdict(list), defaultdict(list)
@@ -101,16 +105,18 @@ class _Source:
 
 
 def _judged(rows: Iterator[tuple]) -> Iterator[tuple]:
-    key, source = None, _Source()
-    for scope, tool, fpath, fid, type_, part, at, path, lid, line, name, bpath, bid in rows:
-        if key != (new := (scope, tool, fpath, fid, type_)):
-            key, source = new, _Source()
+    key, tool, source = None, None, _Source()
+    for scope, share, fpath, fid, type_, part, of, at, path, lid, line, name, bpath, bid in rows:
+        if key != (new := (scope, share, fpath, fid, type_)):
+            key, tool, source = new, None, _Source()
         if part == 0:
             source.add(at, path, lid, line, name)
         elif part == 1:
             source.excused.add(name)
         else:
-            yield (scope, tool, at, type_, *source.judge(path, line, name, bpath, bid))
+            if tool != of:
+                tool, source.claimed, source.heads = of, set(), {}
+            yield (scope, of, at, type_, *source.judge(path, line, name, bpath, bid))
 
 
 def verdicts(scoped: DataFrame, oracle: DataFrame) -> DataFrame:
@@ -128,10 +134,18 @@ def verdicts(scoped: DataFrame, oracle: DataFrame) -> DataFrame:
     tail = [text(None).alias("bpath"), text(None).alias("bid")]
     unique = collapsed(oracle).select("scope", F.col("nfrom").alias("fpath"), F.col("fromLocalId").alias("fid"), "type", F.lit(0).alias("part"), "ord", norm_path(F.col("targetPath")).alias("path"), F.col("targetLocalId").alias("lid"), F.col("targetStartLine").alias("line"), F.col("targetName").alias("name"), *tail)
     loose = oracle.where(~is_scoreable(F.col("scoreable"))).select("scope", norm_path(F.col("fromPath")).alias("fpath"), F.col("fromLocalId").alias("fid"), "type", F.lit(1).alias("part"), F.lit(0).cast("long").alias("ord"), text(None).alias("path"), text(None).alias("lid"), F.lit(None).cast("int").alias("line"), F.col("targetName").alias("name"), *tail).distinct()
-    keys = ["scope", "tool", "fpath", "fid", "type"]
-    # one row for each tool: a handful, whatever the graphs' sizes
-    truth = unique.unionByName(loose).crossJoin(F.broadcast(scoped.select("tool").distinct()))
-    rows = dealt(asked.unionByName(truth), keys, "part", "ord").select(*keys, "part", "ord", "path", "lid", "line", "name", "bpath", "bid")
+    keys = ["scope", "fpath", "fid", "type"]
+    hot = staged(asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(*keys, F.lit(True).alias("hot")))
+    truth = unique.unionByName(loose).withColumn("tool", text(None))
+    if hot.isEmpty():
+        asked, truth = (x.withColumn("share", F.lit("")) for x in (asked, truth))
+    else:
+        asked = asked.join(hot, keys, "left").withColumn("share", F.when(F.col("hot"), F.col("tool")).otherwise(""))
+        # the tools: a handful, whatever the graphs' sizes
+        tools = scoped.agg(F.collect_set("tool").alias("tools"))
+        truth = truth.join(hot, keys, "left").crossJoin(F.broadcast(tools)).withColumn("share", F.explode(F.when(F.col("hot"), F.col("tools")).otherwise(F.array(F.lit("")))))
+    columns = ["scope", "share", "fpath", "fid", "type", "part", "tool", "ord", "path", "lid", "line", "name", "bpath", "bid"]
+    rows = dealt(asked.select(*columns).unionByName(truth.select(*columns)), columns[:5], "part", "tool", "ord").select(*columns)
     judged = rows.mapInArrow(lambda it: sent(_judged(streamed(it)), _OUT), "scope string, tool string, ord long, type string, verdict string, oracle_ord long")
     return judged.unionByName(ruled)
 

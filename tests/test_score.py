@@ -154,3 +154,14 @@ def test_derived_graph_keeps_all_rows(spark):
     calls = t["calls"].count()
     assert t["links"].count() == calls == spark.read.parquet(f"{DIR}/lineitem.parquet").count()
     assert t["edges"].where("tool = 'gamma'").count() == t["calls"].where("type <> 'ACCESSES'").count()
+
+
+def test_hot_sources_are_dealt_by_tool(spark, monkeypatch):
+    """Verdicts don't depend on whether a source's edges are dealt out by tool."""
+    from graphscore.operators import adjudicate
+
+    t = tables(spark, DIR, ("nodes", "edges", "oracle_symbols", "oracle_edges"))
+    s = Score(Inputs(t["nodes"], t["edges"], t["oracle_symbols"], t["oracle_edges"]), cached=True)
+    plain = sorted(map(tuple, s.verdicts.collect()), key=repr)
+    monkeypatch.setattr(adjudicate, "HOT", 20)
+    assert sorted(map(tuple, adjudicate.verdicts(s.bound, s.oracle).collect()), key=repr) == plain
