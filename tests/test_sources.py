@@ -41,6 +41,54 @@ def test_node_link(spark, tmp_path):
     assert got == [("CONTAINS", True, 1.0), ("CALLS", False, 0.5), ("EXTENDS", True, 0.7)]
 
 
+def _link_document() -> dict:
+    awkward = ["}", "{", "]}", '"', "\\", '\\"{', "links", '"nodes":[{', "é€", "a,b", "\n", ""]
+    nodes = [{"id": f"n{k}", "label": awkward[k % len(awkward)] * (k % 4), **({"metadata": {"kind": "{x}", "language": "ts"}, "more": [[{"a": [k]}], {}]} if k % 3 else {}), "source_file": None if k % 5 else "s"} for k in range(40)]
+    links = [{"source": f"n{k}", "target": awkward[k % len(awkward)], "relation": "calls", "confidence_score": k / 7} for k in range(50)]
+    return {"graph": {"x": {"nodes": [{"id": "no"}]}, "y": [1, {"links": [2]}]}, "nodes": nodes, "built_at_commit": "c{1", "hyperedges": [{"id": {"a": 1}, "nodes": ["{"]}, {}], "links": links, "multigraph": False}
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_node_link_in_many_splits(spark, tmp_path, indent):
+    doc, text = _link_document(), json.dumps(_link_document(), indent=indent, ensure_ascii=False)
+    (tmp_path / "g.json").write_text(text)
+    (tmp_path / "parts").mkdir()
+    lines = text.splitlines(keepends=True)
+    for k in range(0, len(lines), 70):
+        (tmp_path / "parts" / f"part-{k:05}").write_text("".join(lines[k : k + 70]))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for size, batch in ((701, 3), (1 << 20, 7)):
+            for k, v in zip(old, (size, 1, batch), strict=True):
+                spark.conf.set(k, v)
+            for name in ("g.json", "parts"):
+                nodes, links, commit = nodelink.read(spark, str(tmp_path / name))
+                assert [r["commitSha"] for r in commit.collect()] == ["c{1"]
+                got = [(r["ord"], r["id"], r["label"], r["metadata"] and r["metadata"]["kind"], r["source_file"]) for r in nodes.orderBy("ord").collect()]
+                assert got == [(k, x["id"], x["label"], "{x}" if "metadata" in x else None, x["source_file"]) for k, x in enumerate(doc["nodes"])]
+                got = [(r["ord"], r["source"], r["target"], r["confidence_score"]) for r in links.orderBy("ord").collect()]
+                assert got == [(k, x["source"], x["target"], x["confidence_score"]) for k, x in enumerate(doc["links"])]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("text", ['{"nodes":[{"id":"a"}],"links":[]', '{"nodes":[{"id":"a"}', '{"nodes":[{"id":"a"},', "{", '{"nodes":[{"id":"a"}{"id":"b"}]}', '{"nodes":[{"id":"a"},]}', '{"nodes":[{"id":"a"},3]}', '{"nodes":[["a"]]}', '{"nodes":{"a":{}}}', '{"nodes":[{"id":}]}', '{"nodes":[{"id":"a"}],"links":[{"source":"}]}'])
+def test_node_link_malformed(spark, tmp_path, text):
+    (tmp_path / "g.json").write_text(text)
+    with pytest.raises(Exception):  # noqa: B017
+        [x.collect() for x in nodelink.read(spark, str(tmp_path / "g.json"))]
+
+
+def test_node_link_needs_no_whole_document(spark, tmp_path):
+    """Two parts, neither of them a document."""
+    (tmp_path / "part-0").write_text('{"nodes":[{"id":"a"}\n')
+    (tmp_path / "part-1").write_text(',{"id":"b"}],"links":[]}\n')
+    nodes, links, commit = nodelink.read(spark, str(tmp_path))
+    assert [(r["ord"], r["id"]) for r in nodes.orderBy("ord").collect()] == [(0, "a"), (1, "b")]
+    assert links.count() == 0 and commit.first()["commitSha"] is None
+
+
 def test_tagged_records(spark, tmp_path):
     rows = [{"kind": "header"}, {"kind": "node", "id": "f", "name": "a.ts", "node_type": "FILE", "file": "a.ts", "line": 0, "end_line": 9, "text": "x"}, {"kind": "node", "id": "c", "name": "constructor", "node_type": "FUNCTION", "class_name": "K", "file": "a.ts", "line": 4, "end_line": 5}, {"kind": "edge", "source_id": "f", "target_id": "c", "relationship_type": "CONTAINS"}, {"kind": "edge", "source_id": "c", "target_id": "f", "relationship_type": "REFERENCES"}, {"kind": "footer", "node_count": 2, "edge_count": 2}]
     p = tmp_path / "r.ndjson"
