@@ -31,7 +31,13 @@ class Derived:
         self.spark, self.sf_dir = spark, sf_dir
 
     def _table(self, name: str) -> DataFrame:
-        return staged(tables(self.spark, self.sf_dir, (name,))[name])
+        return staged(tables(self.spark, self.sf_dir, (name,), self._calls if name.endswith("edges") else None)[name])
+
+    @functools.cached_property
+    def _calls(self) -> dict[str, DataFrame]:
+        """What both sides' edges are derived from, numbered once. Columns that only the order of a line took are left out."""
+        calls = tables(self.spark, self.sf_dir, ("calls",))["calls"]
+        return {"calls": staged(calls.select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "ord", "a", "b", "n", "q", "type"))}
 
     nodes = functools.cached_property(lambda self: self._table("nodes"))
     edges = functools.cached_property(lambda self: self._table("edges"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -94,3 +95,15 @@ def test_random_graphs(spark, seed):
     row = lambda nulls: (rng.choice(["a", "b", "get:a", "[set]b", "set a"]), None if nulls and rng.random() < 0.2 else rng.randint(1, 30), rng.choice(["Method", "Property", "Class"]), rng.choice(["p.ts", "q.ts"]))
     oracle, tool = [row(False) for _ in range(60)], [row(True) for _ in range(90)]
     assert pairs(spark, oracle, tool) == plain(oracle, tool)
+
+
+def test_claims_in_one_large_bucket():
+    """Work grows with the rows, not with their square: the n-th claim of n doesn't look at n candidates."""
+    n, rng = 20_000, random.Random(5)
+    spot = [(rng.choice(["Method", "Class", "Enum"]), rng.choice([None, *range(1, 500)])) for _ in range(n)]
+    rows = [("p.ts", "a", claimant, "t", k, str(k), *spot[k if not claimant else n - 1 - k], False) for claimant in (False, True) for k in range(n)]
+    began = time.process_time()
+    got = list(match._claims(iter(rows)))
+    assert time.process_time() - began < 10
+    assert len({at for _, _, at in got}) == n
+    assert got[:1] == [("t", 0, min((k for k in range(n) if spot[k][0] == spot[-1][0] and (spot[-1][1] is None or spot[k][1] == spot[-1][1]))))]
