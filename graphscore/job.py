@@ -18,6 +18,7 @@ from .adapters import FORMATS
 from .plans import report
 from .plans.score import Inputs, Score
 from .sources import jsonl
+from .staging import hashed_joins
 
 
 @dataclass(frozen=True)
@@ -81,6 +82,7 @@ TABLES = ("nodes_by_kind", "nodes_overall", "kind_labelling", "kind_labelling_ov
 
 def run(spark: SparkSession, target: Target, out: str, commit: str | None = None, tables: str | None = None, **options) -> Score:
     """Scores a target and writes the report to ``out``, and the metric tables as Parquet under ``tables``."""
+    hashed_joins(spark)
     score = Score(inputs(spark, target, **options), cached=True)
     skip = options.get("skip", ())
     cost = [(t.name, *t.cost) for t in target.tools if t.cost and t.name not in skip]

@@ -12,7 +12,7 @@ from ..functions import labels, names
 from ..functions.metrics import derived_scoreable
 from ..operators import adjudicate, climb, dedupe, ownership
 from ..sources import mdtable, nodelink
-from ..staging import staged
+from ..staging import hashed_joins, staged
 from . import ingest, report
 from .score import Score
 from .testgraph import tables
@@ -54,6 +54,7 @@ def score(spark: SparkSession, sf_dir: str) -> Score:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _last:
         _last.clear()
+        hashed_joins(spark)
         _last[key] = Score(Derived(spark, sf_dir), cached=True)
     return _last[key]
 
